@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .bpe import op8_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import op2_line_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_ann": op6_ann,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
     "op9_hmm_scoring": op9_hmm_scoring,

@@ -23,6 +23,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordTable, discard, ids_and_text, remainder, stash
 
@@ -184,12 +185,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """doc_id, held_out, score, predicted."""
     scorer = train(docs, labels, held_mod, held_rest, **options)
     rows = ids_and_text(docs).withColumn("held_out", remainder(F.col("doc_id"), held_mod) == held_rest)
-    return scored(rows, scorer, "doc_id long, held_out boolean", ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = scored(rows, scorer, ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def scored(rows: DataFrame, scorer: Scorer, schema: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``rows`` with the score of their text."""
+def scored(rows: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``rows`` with the score of their ``text``."""
     shared = rows.sparkSession.sparkContext.broadcast((scorer.weights, scorer.intercept))  # FEATURES entries
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import math
@@ -206,7 +209,7 @@ def scored(rows: DataFrame, scorer: Scorer, schema: str, keep: list[str]) -> Dat
                 table.trim()
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*keep, "score"])
 
-    return rows.select("text", *keep).mapInArrow(run, f"{schema}, score double")
+    return rows.select(F.col("text").alias("__text"), *keep).mapInArrow(run, schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
