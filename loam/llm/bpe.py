@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordTable, ids_and_text
+from .common import WordTable, byte_of_char, ids_and_text
 from .packing import tokenizer_text
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -42,13 +42,6 @@ def split_pieces(text: str) -> list[str]:
     return out
 
 
-def byte_of_char() -> dict[str, int]:
-    """Byte-level BPE writes printable Latin-1 bytes as themselves and the others, in order, from U+0100."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def _codec(text: str):
     """(piece -> ids as "12,345,", id as text -> bytes)."""
     import os

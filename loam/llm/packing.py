@@ -13,7 +13,11 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
+import os
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WordTable, ids_and_text, stash
+from .common import WordTable, byte_of_char, ids_and_text, stash
 
 CAPACITY = 4096
 END_ID = 1
@@ -50,6 +54,41 @@ def tokenizer_text(path: str | None, name: str) -> str:
         return f.read()
 
 
+#: Words of these characters alone are split here as the tokenizer splits them: runs of letters,
+#: single digits, runs of marks. (With an apostrophe a contraction may be split off.)
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9!-&(-/:-@\\[-`{-~]+")
+_PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+
+
+@functools.lru_cache(1)
+def word_table(text: str) -> WordTable:
+    """A worker's table of distinct words: UTF-8 word to its little-endian ids, kept from task to task.
+
+    Neither normalisation nor splitting reaches across ASCII white space, and no special token holds
+    any. A plain word's parts have a table of their own; any other word is encoded as a text.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(text)
+    tok.no_truncation()
+    tok.no_padding()
+    model, char = tok.model, {b: c for c, b in byte_of_char().items()}
+    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+    pack_ids = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    part = WordTable(lambda p: pack_ids([t.id for t in model.tokenize("".join([char[b] for b in p.encode()]))]), limit=200_000)
+
+    def ids(word: bytes) -> bytes:
+        w = word.decode()
+        if _PLAIN.fullmatch(w) and not ("<" in w and any(s in w for s in special)):
+            out = b"".join([part[p] for p in _PARTS.findall(w.lower())])
+            part.trim()
+            return out
+        return pack_ids(tok.encode(w, add_special_tokens=False).ids)
+
+    return WordTable(ids)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` ids; with ``with_ids`` also the ids themselves."""
     rows = ids_and_text(docs, id_col, text_col)
@@ -57,19 +96,10 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = T.StructType([*PIECES, T.StructField("ids", T.ArrayType(T.IntegerType(), False))]) if with_ids else PIECES
 
     def run(batches):
-        import os
-
         import numpy as np
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(shared.value)
-        tok.no_truncation()
-        tok.no_padding()
-        # Neither normalisation nor splitting reaches across ASCII white space, and no special token holds any.
-        table = WordTable(lambda w: np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+        table = word_table(shared.value)
         end = np.array([END_ID], "<u4").tobytes()
         kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
         for batch in batches:
