@@ -7,13 +7,16 @@ documents, tokens that fewer than ``min_docs`` of them have at a position become
 is left is their template, if at least ``min_constant`` of its tokens are constant. Recurring
 templates are dropped from all documents but the one with the smallest id.
 
-Identical lines are collapsed before they are grouped, so a line that a third of all documents
-hold is one row of each task.
+Lines are counted by two hashes of 64 bits each, made once and kept in shared storage, and identical
+ones are collapsed before they are grouped: a line that a third of all documents hold is one row of
+each task. Text moves twice: for the lines of leaves that may hold varied templates, and to rebuild
+the documents.
 
 Defined results: null text is empty; lines of fewer than ``min_tokens`` tokens stay; of a document
 without lines left the text is empty; a document's own repetitions don't count as recurring; rows
-of one id share their dropped lines; a null id never keeps a line that another document holds;
-an empty table gives an empty result; other columns come along unchanged in ``drop_lines``.
+of one id share their dropped lines; a row with a null id counts but keeps its lines, and no
+template is generalised from its lines alone; an empty table gives an empty result; other columns
+come along unchanged in ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import ASCII_SPACE, discard, stash
 
 MIN_DOCS = 3
 MIN_TOKENS = 3
@@ -32,88 +35,81 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, _SPACE, " ")), " ")
+    return F.split(F.trim(line, F.lit(ASCII_SPACE)), _SPACE)
 
 
 def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
 
 
-def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """doc_id, line, leaf: the distinct lines of each document that take part."""
-    tokens = _tokens(F.col("line"))
-    leaf = F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, depth)))
-    return (
-        docs.select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
-        .withColumn("tokens", tokens)
-        .filter(F.size("tokens") >= min_tokens)
-        .select("doc_id", "line", leaf.alias("leaf"))
-    )
+def _leaf(tokens: str, depth: int) -> Column:
+    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, depth)))
 
 
 def _key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")]
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """Lines of recurring templates: line, template, n_docs, keeper (smallest id that has the template)."""
-    lines = _lines(docs, min_tokens, depth)
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    met = stash(
-        lines.join(leaves, "leaf", "left_semi").groupBy("line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")),
-        "lines",
-    )
-    exact = met.filter(F.col("n_docs") >= min_docs).select("line", F.col("line").alias("template"), "n_docs", F.col("first").alias("keeper"))
+def _light(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
+    """doc_id, h1, h2, leaf of the distinct lines of each document that take part."""
+    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
+    return lines.withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") >= min_tokens).select("doc_id", *_key(F.col("line")), _leaf("tokens", depth).alias("leaf"))
+
 
-    rest = met.filter(F.col("n_docs") < min_docs).withColumn("tokens", _masked(_tokens(F.col("line"))))
-    rest = rest.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+def _varied(docs: DataFrame, lines: DataFrame, min_docs: int, depth: int, min_constant: float) -> DataFrame:
+    """h1, h2, template, n_docs, keeper of lines that don't recur themselves but whose template does."""
+    rest = lines.filter((F.col("n_docs") < min_docs) & F.col("first").isNotNull())
     full = stash(rest.groupBy("leaf").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    rest = rest.join(full, "leaf", "left_semi").select("leaf", "line", "tokens", "n_docs", "first")
-    at = rest.select("leaf", "line", "n_docs", "first", F.posexplode("tokens").alias("pos", "token")).withColumn(
-        "slot", F.xxhash64("leaf", "pos", "token")
-    )
-    common = stash(at.groupBy("slot").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("slot", F.lit(True).alias("constant")), "slots")
+    found = stash(rest.join(full, "leaf", "left_semi").select("h1", "h2", "n_docs", "first"), "candidates")
+    wanted = found.groupBy("first").agg(F.collect_set("h1").alias("wanted"))
+    texts = docs.filter("doc_id is not null").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("first"))
+    some = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: F.array_contains("wanted", F.xxhash64(x)))
+    own = texts.select(F.explode(some).alias("line")).select(*_key(F.col("line")), _masked(_tokens(F.col("line"))).alias("tokens"))
+    own = own.dropDuplicates(["h1", "h2"]).join(found, ["h1", "h2"])
+    own = stash(own.withColumn("leaf", _leaf("tokens", depth)), "varied")
+    at = own.select("h1", "h2", "n_docs", "leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != WILD)
+    at = at.select("h1", "h2", "n_docs", "pos", F.xxhash64("leaf", "pos", "token").alias("slot"))
+    common = stash(at.groupBy("slot").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("slot"), "slots")
+    constant = at.join(common, "slot", "left_semi").groupBy("h1", "h2").agg(F.collect_set("pos").alias("constant"))
+    template = F.array_join(F.transform("tokens", lambda t, i: F.when(F.array_contains("constant", i), t).otherwise(F.lit(WILD))), " ")
     general = (
-        at.join(common, "slot", "left")
-        .groupBy("line")
-        .agg(
-            F.first("n_docs").alias("n_docs"),
-            F.first("first").alias("first"),
-            F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("constant") & (F.col("token") != WILD), F.col("token")).otherwise(F.lit(WILD)).alias("token")))).alias("all"),
-        )
-        .select("line", "n_docs", "first", F.transform("all", lambda s: s["token"]).alias("tokens"))
-        .filter(F.size(F.filter("tokens", lambda t: t != WILD)) >= min_constant * F.size("tokens"))
-        .select("line", F.array_join("tokens", " ").alias("template"), "n_docs", "first")
+        own.join(constant, ["h1", "h2"])
+        .filter(F.size("constant") >= min_constant * F.size("tokens"))
+        .select("h1", "h2", "n_docs", "first", template.alias("template"))
     )
     general = stash(general, "general")
-    templates = stash(
-        general.groupBy("template").agg(F.sum("n_docs").alias("all"), F.min("first").alias("keeper")).filter(F.col("all") >= min_docs), "templates"
-    )
-    varied = general.join(templates, "template").select("line", "template", F.col("all").alias("n_docs"), "keeper")
-    return exact.unionByName(varied)
+    recurring = stash(general.groupBy("template").agg(F.sum("n_docs").alias("all"), F.min("first").alias("keeper")).filter(F.col("all") >= min_docs), "templates")
+    out = stash(general.join(recurring, "template").select("h1", "h2", "template", F.col("all").alias("n_docs"), "keeper"), "generalised")
+    discard(full, found, own, common, general, recurring)
+    return out
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_constant: float = MIN_CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the recurring lines gone from the text, and n_dropped."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drop = recurring_lines(plain, min_docs, min_tokens, depth, min_constant).select(*_key(F.col("line")), "keeper")
-    drop = stash(drop, "drop")
-    light = _lines(plain, min_tokens, depth).select("doc_id", *_key(F.col("line")))
+    light = stash(_light(plain, min_tokens, depth), "light")
+    lines = stash(light.groupBy("h1", "h2", "leaf").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")), "lines")
+    varied = _varied(plain, lines, min_docs, depth, min_constant)
+    exact = lines.filter(F.col("n_docs") >= min_docs).select("h1", "h2", F.col("first").alias("keeper"))
+    drop = stash(exact.union(varied.select("h1", "h2", "keeper")), "drop")
+    discard(lines, varied)
     gone = (
-        light.join(drop, ["h1", "h2"])
+        light.filter("doc_id is not null")
+        .join(drop, ["h1", "h2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id")
         .agg(F.collect_set("h1").alias("__gone"))
         .withColumnRenamed("doc_id", "__id")
     )
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("__gone", F.xxhash64(x)))
-    out = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id")), "left")
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    kept = F.filter(parts, lambda x: ~F.array_contains("__gone", F.xxhash64(x)))
     hit = F.col("__gone").isNotNull()
-    return out.select(
-        *[F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.when(hit, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+    out = docs.filter(F.col(id_col).isNotNull()).join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+    out = out.select(
+        *[F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        F.when(hit, F.size(parts) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return out.unionByName(docs.filter(F.col(id_col).isNull()).withColumn("n_dropped", F.lit(0).cast("long")))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
