@@ -19,6 +19,8 @@ INT = ("smallint", "integer", "bigint", "int", "int2", "int4", "int8")
 NUMERIC = ("numeric", "decimal", "real", "double precision", "float", "float4", "float8")
 STAMP = ("timestamp without time zone", "timestamp with time zone", "timestamptz", "timestamp")
 JSON = ("json", "jsonb")
+FAMILIES = {"text": TEXT, "int": INT, "numeric": NUMERIC, "stamp": STAMP, "json": JSON}
+UDTS = ("inet", "point", "time", "timetz", "interval", "tstzrange", "hstore")
 ARRAY_KINDS = {
     "text": ("text", "varchar", "character varying", "bpchar", "char", "citext"),
     "int": ("int2", "int4", "int8", "smallint", "integer", "bigint", "int"),
@@ -91,11 +93,23 @@ class Column:
     precision: int | None = None
     scale: int | None = None
 
-    def is_(self, family) -> bool:
-        return self.data_type.lower() in family
-
-    def named(self, *patterns: str) -> bool:
-        return any(re.search(p, self.name.lower()) for p in patterns)
+    def families(self) -> list[str]:
+        """Names under which match rules find the column."""
+        kind, udt = self.data_type.lower(), self.udt.lower()
+        out = [n for n, names in FAMILIES.items() if kind in names]
+        if "int" in out:
+            orphan = self.name.lower().endswith("_id") and not self.fk_target
+            out.append("int:orphan" if orphan else "int:plain")
+        if kind in ("date", "uuid", "bytea"):
+            out.append(kind)
+        if kind == "boolean" or udt == "bool":
+            out.append("bool")
+        if udt in UDTS:
+            out.append(f"udt:{udt}")
+        if kind == "array" and self.array_dims == 1 and array_kind(self.udt):
+            out.append("array")
+        out += ["enum"] * bool(self.enum_values) + ["fk"] * bool(self.fk_target)
+        return out
 
 
 def norm_name(name: str) -> str:
@@ -124,12 +138,29 @@ class Params:
 Make = Callable[[Dialect, Params, Column], str]
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Scores a column of the family whose name (lower-cased, or normalised too) holds ``pattern`` but not ``unless``."""
+
+    score: int
+    family: str
+    pattern: str = ""
+    unless: str = ""
+    normal: bool = False
+
+    def __call__(self, column: Column, families: list[str]) -> int:
+        name = norm_name(column.name) if self.normal else column.name.lower()
+        hit = self.family in families and re.search(self.pattern, name) and not (self.unless and re.search(self.unless, name))
+        return self.score if hit else NO_MATCH
+
+
 @dataclass(frozen=True)
 class Factory:
-    """A generator. ``expr`` gives SQL text; ``kind`` is the Spark type of its values."""
+    """A generator. ``expr`` gives SQL text; ``kind`` is the Spark type of its values. Without rules
+    (None) name and tags are matched against any column."""
 
     name: str
-    match: Callable[[Column], int] | None
+    rules: tuple[Rule, ...] | Callable[[Column], int] | None
     expr: Make
     kind: str = "string"
     tags: tuple = ()
@@ -137,9 +168,12 @@ class Factory:
     required: tuple = ()  # parameters that must be set: (name, kind)
 
     def score(self, column: Column) -> int:
-        if self.match is not None:
-            return self.match(column)
-        return default_score(self.name, self.tags, column)
+        if callable(self.rules):
+            return self.rules(column)
+        if self.rules is None:
+            return default_score(self.name, self.tags, column)
+        families = column.families()
+        return max((r(column, families) for r in self.rules), default=NO_MATCH)
 
 
 def default_score(name: str, tags, column: Column) -> int:
@@ -149,29 +183,19 @@ def default_score(name: str, tags, column: Column) -> int:
     return NAME if any(norm_name(t) in own for t in tags) else NO_MATCH
 
 
-def _text(name: str, tags) -> Callable[[Column], int]:
-    return lambda c: default_score(name, tags, c) if c.is_(TEXT) else NO_MATCH
-
-
-def _when(score: int, *tests) -> Callable[[Column], int]:
-    return lambda c: score if all(t(c) for t in tests) else NO_MATCH
-
-
-def _of(*families):
-    return lambda c: any(c.is_(f) for f in families)
-
-
-def _like(*patterns):
-    return lambda c: c.named(*patterns)
+def _text(name: str, tags) -> tuple[Rule, ...]:
+    """The name itself, or any of the tags within it, normalised, of a text column."""
+    named = (Rule(NAME, "text", "|".join(re.escape(norm_name(t)) for t in tags), normal=True),) if tags else ()
+    return (Rule(STRONG, "text", f"^{re.escape(norm_name(name))}$", normal=True), *named)
 
 
-def _udt(*names):
-    return lambda c: c.udt.lower() in names
+def _of(score: int, *families: str, like: str = "") -> tuple[Rule, ...]:
+    return tuple(Rule(score, f, like) for f in families)
 
 
-def _words(*words):
+def _words(*words: str) -> str:
     """Any of the words between underscores or ends."""
-    return _like(rf"(^|_)({'|'.join(words)})(_|$)")
+    return rf"(^|_)({'|'.join(words)})(_|$)"
 
 
 def array_kind(udt: str) -> str | None:
@@ -179,37 +203,7 @@ def array_kind(udt: str) -> str | None:
     return next((k for k, names in ARRAY_KINDS.items() if raw in names), None)
 
 
-def _is_bool(c: Column) -> bool:
-    return c.data_type.lower() == "boolean" or c.udt.lower() == "bool"
-
-
-def _integer_score(c: Column) -> int:
-    if not c.is_(INT):
-        return NO_MATCH
-    orphan = c.name.lower().endswith("_id") and not c.fk_target
-    return TYPE if orphan or c.named(r"(^|_)(status|type)(_|$)") else WEAK_NAME
-
-
-def _stamp_score(c: Column) -> int:
-    if not c.is_(STAMP):
-        return NO_MATCH
-    return WEAK_NAME if c.named("_at$", "_on$", "_date$", "_time$", "^deadline$", "^applied$") else TYPE
-
-
-def _ip_score(c: Column) -> int:
-    return TYPE if c.udt.lower() == "inet" else _text("ip_address", ("ip", "ip_address", "ipaddr"))(c)
-
-
-def _localized_score(c: Column) -> int:
-    return NAME if c.is_(JSON) and any(p in c.name.lower() for p in LOCALIZED) else NO_MATCH
-
-
-def _array_score(c: Column) -> int:
-    return STRONG if c.data_type.upper() == "ARRAY" and c.array_dims == 1 and array_kind(c.udt) else NO_MATCH
-
-
-def _color_score(c: Column) -> int:
-    return NAME if c.is_(TEXT) and any(t in norm_name(c.name) for t in ("color", "colour")) else NO_MATCH
+_ENUM_LIKE = r"(^|_)(status|type)(_|$)"
 
 
 def _range(lo: int, hi: int) -> Make:
@@ -308,15 +302,15 @@ def _factories() -> list[Factory]:
     def text(name, expr, tags=(), unique=False, kind="string"):
         return Factory(name, _text(name, tags), expr, kind, tags, unique)
 
-    def whole(name, lo, hi, tags, *tests, kind="bigint"):
-        return Factory(name, _when(NAME, _of(INT), *tests), _range(lo, hi), kind, tags)
+    def whole(name, lo, hi, tags, like):
+        return Factory(name, _of(NAME, "int", like=like), _range(lo, hi), "bigint", tags)
 
     year = 365 * DAY
     return [
-        Factory("fkref", lambda c: FK if c.fk_target else NO_MATCH, lambda d, p, c: d.null(), tags=("fk",)),
+        Factory("fkref", _of(FK, "fk"), lambda d, p, c: d.null(), tags=("fk",)),
         text("first_name", _pool(FIRST_NAMES), ("given_name", "fname")),
         text("last_name", _pool(LAST_NAMES), ("family_name", "surname", "lname")),
-        Factory("full_name", _when(STRONG, _of(TEXT), _like("^full_?name$", "^display_?name$")), lambda d, p, c: d.cat(d.pick(FIRST_NAMES, 0), "' '", d.pick(LAST_NAMES, 1)), tags=("display_name",)),
+        Factory("full_name", _of(STRONG, "text", like="^(full|display)_?name$"), lambda d, p, c: d.cat(d.pick(FIRST_NAMES, 0), "' '", d.pick(LAST_NAMES, 1)), tags=("display_name",)),
         text("patronymic", _pool(PATRONYMICS), ("patronymic", "middle_name", "otchestvo")),
         text("email", lambda d, p, c: d.cat("'user'", _row(d), "'_'", d.text(d.between(0, 9_999)), d.s("@" + p.text("domain", "example.com"))), ("e_mail", "email_address"), True),
         text("phone", lambda d, p, c: d.cat(d.pick(DIAL_CODES, 0), d.pad(d.between(0, 99_999_999, 1), 8)), ("tel", "mobile", "phone_number")),
@@ -327,52 +321,52 @@ def _factories() -> list[Factory]:
         text("country", _pool(COUNTRIES), ("country_code", "country_name")),
         text("hostname", lambda d, p, c: d.cat("'tenant-'", _row(d), "'.example.'", d.pick(TLDS)), ("hostname", "domain", "subdomain", "host"), True),
         text("slug", lambda d, p, c: d.cat(d.pick(SLUG_WORDS, 0), "'-'", d.pick(SLUG_WORDS, 1), "'-'", _row(d)), ("slug",), True),
-        Factory("color", _color_score, lambda d, p, c: d.fmt("#%06X", d.between(0, 0xFFFFFF)), tags=("color", "colour")),
+        Factory("color", (Rule(NAME, "text", "colou?r", normal=True),), lambda d, p, c: d.fmt("#%06X", d.between(0, 0xFFFFFF)), tags=("color", "colour")),
         text("title", lambda d, p, c: d.cat(d.pick(TITLE_ADJECTIVES, 0), "' '", d.pick(TITLE_NOUNS, 1), "' '", _row(d)), ("title", "headline", "heading", "caption", "subject")),
         text("gender", lambda d, p, c: f"CASE WHEN {d.row} % 2 = 0 THEN 'male' ELSE 'female' END", ("gender", "sex")),
         text("token", lambda d, p, c: hex_text(d, p.int_("length", 32)), ("token", "api_key", "secret", "access_token", "auth_token")),
-        Factory("ip_address", _ip_score, lambda d, p, c: d.cat("'10.'", d.text(d.between(0, 255, 0)), "'.'", d.text(d.between(0, 255, 1)), "'.'", d.text(d.between(1, 254, 2))), tags=("ip", "ip_address", "ipaddr")),
-        Factory("filename", _when(NAME, _of(TEXT), _like("file.?name")), lambda d, p, c: d.cat("'file_'", _row(d), "'.'", d.pick(EXTENSIONS)), tags=("file_name", "filename")),
+        Factory("ip_address", (Rule(TYPE, "udt:inet"), *_text("ip_address", ("ip", "ip_address", "ipaddr"))), lambda d, p, c: d.cat("'10.'", d.text(d.between(0, 255, 0)), "'.'", d.text(d.between(0, 255, 1)), "'.'", d.text(d.between(1, 254, 2))), tags=("ip", "ip_address", "ipaddr")),
+        Factory("filename", _of(NAME, "text", like="file.?name"), lambda d, p, c: d.cat("'file_'", _row(d), "'.'", d.pick(EXTENSIONS)), tags=("file_name", "filename")),
         text("mime_type", _pool(MIME_TYPES), ("content_type", "mime_type", "media_type")),
         text("username", lambda d, p, c: d.cat(d.pick(USER_ADJECTIVES), "'_user_'", _row(d)), ("username", "user_name", "login", "login_name"), True),
         text("currency", _pool(CURRENCIES), ("currency", "currency_code")),
         text("language_code", _pool(LANGUAGES), ("language", "locale", "lang")),
-        Factory("enum_value", lambda c: STRONG if c.enum_values else NO_MATCH, _enum, tags=("enum",), required=(("values", "list"),)),
-        Factory("EnumValueStr", _when(NAME, _of(TEXT), _like("_type$", "_status$", "^type$", "^status$")), _enum, tags=("type", "status"), required=(("values", "list"),)),
-        Factory("pk_serial", lambda c: STRONG if c.name.lower() == "id" and c.is_(INT) else NO_MATCH, lambda d, p, c: d.int_(f"({p.int_('start', 1)} + {d.row})"), "bigint", ("pk",), True),
-        Factory("uuid", lambda c: STRONG if c.data_type.lower() == "uuid" else NO_MATCH, lambda d, p, c: uuid_text(d), unique_per_row=True),
+        Factory("enum_value", _of(STRONG, "enum"), _enum, tags=("enum",), required=(("values", "list"),)),
+        Factory("EnumValueStr", _of(NAME, "text", like="(^|_)(type|status)$"), _enum, tags=("type", "status"), required=(("values", "list"),)),
+        Factory("pk_serial", _of(STRONG, "int", like="^id$"), lambda d, p, c: d.int_(f"({p.int_('start', 1)} + {d.row})"), "bigint", ("pk",), True),
+        Factory("uuid", _of(STRONG, "uuid"), lambda d, p, c: uuid_text(d), unique_per_row=True),
         whole("position", 1, 100, ("position", "order", "sort_order", "rank"), _words("position", "sort_order")),
         whole("version_int", 1, 50, ("version", "revision"), _words("version", "revision")),
         whole("level", 1, 10, ("level", "tier", "grade"), _words("level", "tier")),
         whole("year", 2015, 2026, ("year",), _words("year")),
         whole("priority", 1, 10, ("priority",), _words("priority")),
         whole("percentage", 0, 100, ("score", "percent", "progress", "rating", "grade"), _words("score", "percent", "progress", "rating", "grade")),
-        Factory("duration", _when(NAME, _of(INT, NUMERIC), _words("duration", "time_spent", "elapsed")), _range(0, 7_200), "bigint", ("duration", "time_spent", "elapsed")),
-        whole("file_size", 1_024, 52_428_800, ("file_size", "filesize"), _like("file.?size|byte.?size")),
-        whole("counter", 0, 100, ("count",), _like("_count$")),
-        Factory("amount", _when(NAME, _of(INT, NUMERIC), lambda c: any(norm_name(t) in norm_name(c.name) for t in ("amount", "price", "cost", "fee", "balance"))), lambda d, p, c: d.scaled(p.float_("min", 0), p.float_("max", 9_999.99), 2), "double", ("amount", "price", "cost", "fee", "balance")),
+        Factory("duration", _of(NAME, "int", "numeric", like=_words("duration", "time_spent", "elapsed")), _range(0, 7_200), "bigint", ("duration", "time_spent", "elapsed")),
+        whole("file_size", 1_024, 52_428_800, ("file_size", "filesize"), "file.?size|byte.?size"),
+        whole("counter", 0, 100, ("count",), "_count$"),
+        Factory("amount", tuple(Rule(NAME, f, "amount|price|cost|fee|balance", normal=True) for f in ("int", "numeric")), lambda d, p, c: d.scaled(p.float_("min", 0), p.float_("max", 9_999.99), 2), "double", ("amount", "price", "cost", "fee", "balance")),
         whole("port", 1_024, 65_535, ("port",), _words("port")),
-        Factory("status_code", _when(NAME, _of(INT), _words("status_code", "http_code", "http_status")), lambda d, p, c: d.pick(HTTP_CODES, text=False), "int", ("status_code", "http_code", "http_status")),
+        Factory("status_code", _of(NAME, "int", like=_words("status_code", "http_code", "http_status")), lambda d, p, c: d.pick(HTTP_CODES, text=False), "int", ("status_code", "http_code", "http_status")),
         text("checksum", lambda d, p, c: hex_text(d, 40), ("checksum", "digest", "hash", "fingerprint")),
-        Factory("version_str", _when(NAME, _of(TEXT), _words("version")), lambda d, p, c: d.cat(d.text(d.between(0, 4, 0)), "'.'", d.text(d.between(0, 19, 1)), "'.'", d.text(d.between(0, 99, 2))), tags=("version", "semver", "app_version")),
-        Factory("latitude", _when(NAME, _of(NUMERIC), _like("(^|_)lat(itude)?(_|$)")), lambda d, p, c: d.scaled(-90, 90, 6), "double", ("latitude", "lat")),
-        Factory("longitude", _when(NAME, _of(NUMERIC), _like("(^|_)lo?n(gitude)?(_|$)")), lambda d, p, c: d.scaled(-180, 180, 6), "double", ("longitude", "lon", "lng")),
-        Factory("integer", _integer_score, lambda d, p, c: d.between(p.int_("min", 0), p.int_("max", _int_max(c))), "bigint", ("numeric",)),
-        Factory("decimal", _when(WEAK_NAME, _of(NUMERIC)), _decimal, "double", ("numeric",)),
-        Factory("bool", _when(WEAK_NAME, _is_bool), lambda d, p, c: f"({d.h()} % 2 = 1)", "boolean", ("logic",)),
-        Factory("bytea", lambda c: STRONG if c.data_type.lower() == "bytea" else NO_MATCH, lambda d, p, c: d.bytes_(hex_text(d, 2 * p.int_("size", 16))), "binary"),
-        Factory("array", _array_score, _array, "array"),
-        Factory("timestamp", _stamp_score, lambda d, p, c: d.timestamp(f"({ANCHOR} + {d.h()} % {year})"), "timestamp", ("time",)),
-        Factory("date", lambda c: WEAK_NAME if c.data_type.lower() == "date" else NO_MATCH, lambda d, p, c: d.date(f"({ANCHOR_DAYS} + {d.h()} % 1825)"), "date", ("time",)),
-        Factory("timestamp_str", _when(NAME, _of(TEXT), _like("_time$")), lambda d, p, c: d.cat(d.time_text(f"({ANCHOR} + {d.h()} % {year})", True), "'+00:00'"), tags=("created_time", "updated_time")),
-        Factory("point", _when(TYPE, _udt("point")), _point, tags=("coordinates", "coordinate", "point", "location")),
-        Factory("time_of_day", _when(TYPE, _udt("time", "timetz")), lambda d, p, c: d.cat(d.pad(d.between(0, 23, 0), 2), "':'", d.pad(d.between(0, 59, 1), 2), "':'", d.pad(d.between(0, 59, 2), 2)), tags=("time",)),
-        Factory("pg_interval", _when(TYPE, _udt("interval")), _minutes, tags=("interval", "duration")),
-        Factory("tstzrange", _when(TYPE, _udt("tstzrange")), _tstzrange, tags=("validity", "valid_period", "period", "range")),
-        Factory("hstore", _when(WEAK_NAME, _udt("hstore")), _hstore, tags=("hstore",)),
-        Factory("localized_json", _localized_score, _localized),
-        Factory("string", lambda c: WEAK if c.is_(TEXT) else NO_MATCH, lambda d, p, c: d.cat(d.s(c.name + "_"), _row(d)), tags=("text",), unique_per_row=True),
-        Factory("json_any", lambda c: TYPE if c.is_(JSON) else NO_MATCH, lambda d, p, c: d.cat("""'{"row":'""", _row(d), "'}'"), tags=("json",)),
+        Factory("version_str", _of(NAME, "text", like=_words("version")), lambda d, p, c: d.cat(d.text(d.between(0, 4, 0)), "'.'", d.text(d.between(0, 19, 1)), "'.'", d.text(d.between(0, 99, 2))), tags=("version", "semver", "app_version")),
+        Factory("latitude", _of(NAME, "numeric", like="(^|_)lat(itude)?(_|$)"), lambda d, p, c: d.scaled(-90, 90, 6), "double", ("latitude", "lat")),
+        Factory("longitude", _of(NAME, "numeric", like="(^|_)lo?n(gitude)?(_|$)"), lambda d, p, c: d.scaled(-180, 180, 6), "double", ("longitude", "lon", "lng")),
+        Factory("integer", (Rule(WEAK_NAME, "int:plain", unless=_ENUM_LIKE), Rule(TYPE, "int")), lambda d, p, c: d.between(p.int_("min", 0), p.int_("max", _int_max(c))), "bigint", ("numeric",)),
+        Factory("decimal", _of(WEAK_NAME, "numeric"), _decimal, "double", ("numeric",)),
+        Factory("bool", _of(WEAK_NAME, "bool"), lambda d, p, c: f"({d.h()} % 2 = 1)", "boolean", ("logic",)),
+        Factory("bytea", _of(STRONG, "bytea"), lambda d, p, c: d.bytes_(hex_text(d, 2 * p.int_("size", 16))), "binary"),
+        Factory("array", _of(STRONG, "array"), _array, "array"),
+        Factory("timestamp", (Rule(WEAK_NAME, "stamp", "_(at|on|date|time)$|^(deadline|applied)$"), Rule(TYPE, "stamp")), lambda d, p, c: d.timestamp(f"({ANCHOR} + {d.h()} % {year})"), "timestamp", ("time",)),
+        Factory("date", _of(WEAK_NAME, "date"), lambda d, p, c: d.date(f"({ANCHOR_DAYS} + {d.h()} % 1825)"), "date", ("time",)),
+        Factory("timestamp_str", _of(NAME, "text", like="_time$"), lambda d, p, c: d.cat(d.time_text(f"({ANCHOR} + {d.h()} % {year})", True), "'+00:00'"), tags=("created_time", "updated_time")),
+        Factory("point", _of(TYPE, "udt:point"), _point, tags=("coordinates", "coordinate", "point", "location")),
+        Factory("time_of_day", _of(TYPE, "udt:time", "udt:timetz"), lambda d, p, c: d.cat(d.pad(d.between(0, 23, 0), 2), "':'", d.pad(d.between(0, 59, 1), 2), "':'", d.pad(d.between(0, 59, 2), 2)), tags=("time",)),
+        Factory("pg_interval", _of(TYPE, "udt:interval"), _minutes, tags=("interval", "duration")),
+        Factory("tstzrange", _of(TYPE, "udt:tstzrange"), _tstzrange, tags=("validity", "valid_period", "period", "range")),
+        Factory("hstore", _of(WEAK_NAME, "udt:hstore"), _hstore, tags=("hstore",)),
+        Factory("localized_json", _of(NAME, "json", like="|".join(LOCALIZED)), _localized),
+        Factory("string", _of(WEAK, "text"), lambda d, p, c: d.cat(d.s(c.name + "_"), _row(d)), tags=("text",), unique_per_row=True),
+        Factory("json_any", _of(TYPE, "json"), lambda d, p, c: d.cat("""'{"row":'""", _row(d), "'}'"), tags=("json",)),
     ]
 
 
