@@ -11,6 +11,7 @@ import importlib.util
 import pathlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ def sql_factory(name: str, template: str, kind: str = "string", tags=(), unique_
 
 def with_python_column(df: DataFrame, name: str, function: Callable[[int], object], kind: str = "string", row: str = "row") -> DataFrame:
     """A column from a Python function of the row number, a batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def make(rows: pd.Series) -> pd.Series:
         return rows.map(function)

@@ -230,7 +230,8 @@ class _Reader:
                         t.partial_unique_keys.append({"columns": columns, "predicate": where[1].strip()})
                     elif columns:
                         t.unique_keys.append(columns)
-            elif m := re.match(r"CREATE (?:OR REPLACE )?(?:FUNCTION|TRIGGER)\b", s, re.I):
+        for s in todo:  # bodies may name tables that come later
+            if re.match(r"CREATE (?:OR REPLACE )?(?:FUNCTION|PROCEDURE|TRIGGER)\b", s, re.I):
                 for into in re.findall(r"INSERT INTO\s+([\w.$\"]+)", s, re.I):
                     if t := self.model.table(_qualified(into)):
                         t.trigger_populated = True
