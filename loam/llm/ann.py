@@ -118,6 +118,8 @@ def build_graph(x, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float =
         target = graph[p].ravel()
         ok = target < n
         source, target = source[ok], target[ok]
+        if not len(target):
+            continue
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         t, at, count = np.unique(target, return_index=True, return_counts=True)

@@ -58,6 +58,13 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or what no column of ``df`` is called yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null id: of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

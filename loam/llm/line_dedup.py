@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, discard, stash
+from .common import ASCII_SPACE, discard, fresh, stash
 
 MIN_DOCS = 3
 MIN_TOKENS = 3
@@ -93,18 +93,19 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     exact = lines.filter(F.col("n_docs") >= min_docs).select("h1", "h2", F.col("first").alias("keeper"))
     drop = stash(exact.union(varied.select("h1", "h2", "keeper")), "drop")
     discard(lines, varied)
+    own_id, own_gone = fresh(docs, "__id"), fresh(docs, "__gone")
     gone = (
         light.filter("doc_id is not null")
         .join(drop, ["h1", "h2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id")
-        .agg(F.collect_set("h1").alias("__gone"))
-        .withColumnRenamed("doc_id", "__id")
+        .agg(F.collect_set("h1").alias(own_gone))
+        .withColumnRenamed("doc_id", own_id)
     )
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    kept = F.filter(parts, lambda x: ~F.array_contains("__gone", F.xxhash64(x)))
-    hit = F.col("__gone").isNotNull()
-    out = docs.filter(F.col(id_col).isNotNull()).join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+    kept = F.filter(parts, lambda x: ~F.array_contains(own_gone, F.xxhash64(x)))
+    hit = F.col(own_gone).isNotNull()
+    out = docs.filter(F.col(id_col).isNotNull()).join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(own_id), "left")
     out = out.select(
         *[F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(hit, F.size(parts) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("n_dropped"),

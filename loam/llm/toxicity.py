@@ -189,10 +189,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def scored(rows: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``rows`` with the score of their ``text``."""
+def scored(rows: DataFrame, scorer: Scorer, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns of ``rows`` with the score of their ``text`` in ``name``."""
     shared = rows.sparkSession.sparkContext.broadcast((scorer.weights, scorer.intercept))  # FEATURES entries
-    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
 
     def run(batches):
         import math
@@ -207,7 +207,7 @@ def scored(rows: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
                 z = s.logit(t or "", table)
                 out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
                 table.trim()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*keep, name])
 
     return rows.select(F.col("text").alias("__text"), *keep).mapInArrow(run, schema)
 
