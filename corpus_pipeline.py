@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import stash
+from loam.llm.common import fresh, stash
 from loam.llm.line_dedup import drop_lines
 from loam.llm.packing import pack_documents
 from loam.llm.pii import redact
@@ -28,7 +28,8 @@ def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
     scorer = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, scorer, docs.columns).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "score")
+    return scored(docs, scorer, docs.columns, score).filter(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
