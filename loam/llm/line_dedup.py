@@ -117,3 +117,34 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = drop_lines(docs)
     return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_dropped")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT DISTINCT doc_id, unnest(parts) AS line FROM d),
+k AS (
+  SELECT doc_id, line, list_transform(
+           regexp_split_to_array(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+'),
+           lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
+  FROM l),
+g AS (SELECT line, first(m) AS m, count(*) AS n, min(doc_id) AS lowest FROM k WHERE len(m) >= 3 GROUP BY line),
+rest AS (SELECT *, len(m) || '|' || array_to_string(m[1:3], ' ') AS leaf FROM g WHERE n < 3),
+full_leaf AS (SELECT leaf FROM rest GROUP BY leaf HAVING sum(n) >= 3),
+r AS (SELECT rest.* FROM rest JOIN full_leaf USING (leaf)),
+spot AS (SELECT line, n, leaf, unnest(range(1, len(m) + 1)) AS pos, unnest(m) AS token FROM r),
+common AS (SELECT leaf, pos, token FROM spot WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 3),
+constant AS (SELECT line, list(pos) AS kept FROM spot JOIN common USING (leaf, pos, token) GROUP BY line),
+general AS (
+  SELECT line, n, lowest, array_to_string(list_transform(range(1, len(m) + 1),
+           lambda i: CASE WHEN list_contains(kept, i) THEN m[i] ELSE '<*>' END), ' ') AS template
+  FROM r JOIN constant USING (line) WHERE len(kept) >= 0.6 * len(m)),
+recurring AS (SELECT template, min(lowest) AS keeper FROM general GROUP BY template HAVING sum(n) >= 3),
+gone AS (
+  SELECT line, lowest AS keeper FROM g WHERE n >= 3
+  UNION ALL SELECT line, keeper FROM general JOIN recurring USING (template)),
+p AS (SELECT doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS line FROM d),
+marked AS (SELECT p.*, keeper IS NOT NULL AND keeper IS DISTINCT FROM doc_id AS cut FROM p LEFT JOIN gone USING (line))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT cut), '') AS text,
+       count(*) FILTER (cut)::BIGINT AS n_dropped
+FROM marked GROUP BY doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .ann import op6_ann
 from .bpe import op8_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
-from .line_dedup import op2_line_dedup
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .lm_scoring import op9_hmm_scoring
 from .packing import op1_best_fit_packing
 from .pii import op3_pii
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op7_url_filter": OP7_SQL,
 }
