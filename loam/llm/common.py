@@ -31,23 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "loam-shared")
 
 
+#: Tables that this process has stashed and not deleted yet.
+_STASHED: dict[str, SparkSession] = {}
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage ends there,
-    and a lost executor loses none of it. ``df.stash_path`` of the result names the folder."""
+    and a lost executor loses none of it. ``df.stash_path`` of the result names the folder.
+    Tables that a result still reads stay until ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
+    _STASHED[path] = spark
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _STASHED.pop(path, None)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, df.stash_path)
+
+
+def release(*keep: DataFrame) -> None:
+    """Delete all stashed tables but those of ``keep``: once the results that read them are written."""
+    kept = {df.stash_path for df in keep}
+    for path, spark in list(_STASHED.items()):
+        if path not in kept:
+            _delete(spark, path)
 
 
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
