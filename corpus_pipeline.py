@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import fresh, stash
+from loam.llm.common import fresh, release, stash
 from loam.llm.line_dedup import drop_lines
 from loam.llm.packing import pack_documents
 from loam.llm.pii import redact
@@ -70,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        release(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
