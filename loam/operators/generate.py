@@ -105,7 +105,11 @@ class Generator:
                 # A row that retries keeps its key only if the key doesn't follow the attempt.
                 return self.cell(parent, target, at, "0", depth + 1)
             return None
-        return self.value(key, column, spec, row, attempt)
+        sql = self.value(key, column, spec, row, attempt)
+        share = Params(spec.params).float_("null_fraction", 0.0)
+        if share > 0 and spec.nullable:
+            sql = f"CASE WHEN {self.dialect(key, column, row, attempt).unit(chr(39) + 'null' + chr(39))} >= {share!r}D THEN {sql} END"
+        return sql
 
     def value(self, key: str, column: str, spec: ColumnSpec, row: str, attempt: str, path=()) -> str:
         if spec.value is not None:

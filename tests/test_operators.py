@@ -78,6 +78,11 @@ def test_nulls_do_not_collide(spark):
     assert made.tables["public.t"].count() == 3 and made.warnings
 
 
+def test_null_fraction(spark):
+    t = run(spark, {"t": {"row_count": 4000, "columns": {"a": {"factory": "city", "nullable": True, "params": {"null_fraction": 0.25}}, "b": {"factory": "city", "params": {"null_fraction": 0.5}}}}}).tables["public.t"]
+    assert 850 < t.filter("a is null").count() < 1150 and t.filter("b is null").count() == 0
+
+
 def test_empty_parent_empties_child(spark):
     made = run(spark, {"p": {"row_count": 0, "columns": {"id": SERIAL}}, "c": {"row_count": 5, "columns": {"p": ref("p.id")}}, "d": {"row_count": 5, "columns": {"p": ref("p.id", nullable=True)}}})
     assert set(made.tables) == {"public.d"} and made.tables["public.d"].filter("p is not null").count() == 0
