@@ -1,13 +1,13 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints of 64 bits that differ in at most four differ in at most two in one of their
-halves. So every distinct fingerprint emits, for each half, all variants of that half within half
-of that radius (33 each, against the 2081 of a whole fingerprint): two fingerprints that link meet
-in a variant of one half. Variants are shuffled; a bucket's members are verified against each
-other and give the edges of a spanning forest, never all pairs. A bucket of more than
-``bucket_limit`` members is not compared: its members emit the whole ball of radius two, where
-whoever shares a variant links for certain, so the members link to their smallest one. A variant's
-ball bounds that bucket by 2081 fingerprints.
+Every distinct fingerprint of 64 bits emits all variants within half the radius (2081 within two
+bits): two fingerprints at most four bits apart meet in a variant, and whoever shares one is at most
+four bits apart. Variants are shuffled by their first bits: of the 2081, those that begin alike go to
+the same bucket, so one row stands for all of them (37 rows a fingerprint for 8 bits). The bucket's
+task writes the variants out, in lots of at most ``LOT`` by splitting on further bits, and links the
+fingerprints that share one to the smallest of them; each link is verified. A variant's ball bounds
+its members by 2081 fingerprints, so the work grows with the fingerprints alone, however crowded a
+neighbourhood is. Copies of a fingerprint count once.
 
 Components come from alternating large-star and small-star steps over stashed tables.
 
@@ -23,11 +23,13 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ids_and_text, stash
+from .common import discard, ids_and_text, slices, stash
 
 RADIUS = 4
 WORDS = 4
 SEED = 42
+#: Variants that a task writes out at a time.
+LOT = 1 << 21
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,101 +64,109 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
 
         for batch in batches:
-            fps = [one(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = [one(x) for part in slices(batch.column(1).cast(pa.binary())) for x in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return ids_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def _signed(x: int, bits: int = 64) -> int:
-    return x - (1 << bits) if x >> (bits - 1) else x
-
-
 def ball(bits: int, radius: int) -> list[int]:
-    """Masks of at most ``radius`` bits."""
+    """Masks of at most ``radius`` of the bits."""
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def half_variants(nodes: DataFrame, radius: int) -> DataFrame:
-    """key, fp, rep: both halves' variants. A key names its half in bit 32."""
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(32, radius // 4)])
-    low = F.lit(0xFFFFFFFF).cast("long")
-
-    def of(half: int):
-        own = (F.shiftrightunsigned("fp", 32) if half else F.col("fp")).bitwiseAND(low)
-        name = F.lit(half * 2**32).cast("long")
-        return F.transform(masks, lambda m: own.bitwiseXOR(m).bitwiseOR(name))
-
-    return nodes.select(F.explode(F.concat(of(0), of(1))).alias("key"), "fp", "rep")
-
-
-def bucket_edges(keyed: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
-    """Edges (a, b) of each bucket's spanning forest; of a larger bucket its members (a, null, fp)."""
+def prefix_bits(nodes: DataFrame, size: int = 1 << 21, most: int = 1 << 27) -> int:
+    """Bits by which variants are dealt: buckets of about ``size`` variants, of at most ``most`` where
+    fingerprints crowd (32 bits are the end). Results don't depend on it."""
+    n, bits = nodes.count() * len(ball(64, RADIUS // 2)), 8
+    while bits < 32 and n >> bits > size:
+        bits += 1
+    while bits < 32:
+        crowd = nodes.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("p")).count().agg(F.max("count")).first()[0] or 0
+        if crowd * len(ball(64, RADIUS // 2)) <= most:
+            break
+        bits += 4
+    return min(bits, 32)
+
+
+def dealt_variants(nodes: DataFrame, bits: int, radius: int) -> DataFrame:
+    """bucket, fp, rep: a row for each prefix that variants of the fingerprint have."""
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(bits, radius // 2)])
+    own = F.shiftrightunsigned("fp", 64 - bits)
+    return nodes.select(F.explode(F.transform(masks, lambda m: own.bitwiseXOR(m))).alias("bucket"), "fp", "rep")
+
+
+def shared_variants(fp, rep, left, bits: int, radius: int, lot: int):
+    """Links (a, b) of fingerprints that share a variant; ``left``: changes that each may still make in its last ``bits`` bits."""
+    import numpy as np
+
+    many = [1, 1 + bits, 1 + bits + bits * (bits - 1) // 2]
+    total = sum(int((left == r).sum()) * many[r] for r in range(3))
+    if len(fp) < 2:
+        return
+    if total > lot and bits > 1:
+        bit = (fp >> np.uint64(bits - 1)) & np.uint64(1)
+        for side in (0, 1):
+            own = bit == side
+            keep = own | (left > 0)
+            yield from shared_variants(fp[keep], rep[keep], (left - ~own)[keep], bits - 1, radius, lot)
+        return
+    low = np.uint64((1 << bits) - 1) if bits < 64 else np.uint64(2**64 - 1)
+    parts, owners = [], []
+    for r in range(3):
+        at = np.flatnonzero(left == r)
+        if len(at):
+            masks = np.array(ball(bits, r), np.uint64)
+            parts.append(((fp[at] & low)[:, None] ^ masks[None, :]).ravel())
+            owners.append(np.repeat(at, len(masks)))
+    v, owner = np.concatenate(parts), np.concatenate(owners)
+    flat = np.sort(v)
+    twice = flat[1:][flat[1:] == flat[:-1]]
+    if not len(twice):
+        return
+    twice = twice[np.append(True, twice[1:] != twice[:-1])]
+    hit = twice[np.minimum(np.searchsorted(twice, v), len(twice) - 1)] == v
+    v, owner = v[hit], owner[hit]
+    order = np.lexsort((rep[owner], v))
+    v, owner = v[order], owner[order]
+    new = np.append(True, v[1:] != v[:-1])
+    first = owner[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of each variant the member with the smallest id
+    pairs = np.unique(np.stack([owner, first], 1)[owner != first], axis=0)
+    near = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]) <= radius
+    yield rep[pairs[near, 0]], rep[pairs[near, 1]]
+
+
+def variant_links(dealt: DataFrame, bits: int, radius: int, lot: int = LOT) -> DataFrame:
+    """Links (a, b) of the buckets' fingerprints."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def forest(fp, rep, out):
-            left = np.arange(len(fp))
-            while len(left):
-                todo, left = [left[0]], left[1:]
-                while todo and len(left):
-                    i = todo.pop()
-                    near = np.bitwise_count(fp[i] ^ fp[left]) <= radius
-                    for j in left[near]:
-                        out.append((int(rep[i]), int(rep[j]), None))
-                        todo.append(j)
-                    left = left[~near]
-
-        def groups(key, fp, rep, large):
-            """All but the last group; large: the key that is known to be too large."""
-            out = []
-            cut = np.flatnonzero(np.diff(key)) + 1
-            bounds = np.concatenate([[0], cut, [len(key)]])
-            sizes = np.diff(bounds)
-            for g in np.flatnonzero(sizes > 1):
-                a, b = bounds[g], bounds[g + 1]
-                if sizes[g] > bucket_limit or key[a] == large:
-                    out += [(int(r), None, int(f)) for r, f in zip(rep[a:b], fp[a:b].view(np.int64))]
-                else:
-                    forest(fp[a:b], rep[a:b], out)
-            return out
-
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "fp"])
-
-        kept, large = None, None
+        def linked(bucket, fp, rep):
+            off = np.bitwise_count((fp >> np.uint64(64 - bits)) ^ np.uint64(bucket)).astype(np.int64)
+            found = list(shared_variants(fp, rep, radius // 2 - off, 64 - bits, radius, lot))
+            if found:
+                a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
+                both = np.unique(np.stack([a, b], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        kept: list = []
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             if not len(new[0]):
                 continue
-            new[1] = new[1].view(np.uint64)
-            key, fp, rep = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
-            last = int(np.searchsorted(key, key[-1]))  # the batch is sorted by key
-            rows = groups(key[:last], fp[:last], rep[:last], large) if last else []
-            kept = [key[last:], fp[last:], rep[last:]]
-            if large == key[-1] or len(kept[0]) > bucket_limit:
-                large = key[-1]
-                rows += [(int(r), None, int(f)) for r, f in zip(kept[2], kept[1].view(np.int64))]
-                kept = [x[:0] for x in kept]
-            if rows:
-                yield table(rows)
-        if kept is not None and len(kept[0]):
-            rows = groups(*kept, large)
-            if rows:
-                yield table(rows)
-
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "fp", "rep").mapInArrow(run, "a long, b long, fp long")
-
-
-def whole_ball_edges(members: DataFrame, radius: int) -> DataFrame:
-    """Edges of fingerprints (fp, rep) by the whole ball of half the radius: no verification needed."""
-    masks = F.array(*[F.lit(_signed(m)) for m in ball(64, radius // 2)])
-    variants = members.select(F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"), "rep")
-    met = variants.groupBy("v").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("all"))
-    return met.filter(F.size("all") > 1).select(F.explode("all").alias("a"), "b").filter("a <> b").distinct()
+            cuts = [0, *(np.flatnonzero(np.diff(new[0])) + 1), len(new[0])]
+            for x, y in zip(cuts, cuts[1:]):
+                part = [c[x:y] for c in new]
+                if kept and kept[0][0][0] != part[0][0]:
+                    yield from linked(kept[0][0][0], np.concatenate([k[1] for k in kept]).view(np.uint64), np.concatenate([k[2] for k in kept]))
+                    kept = []
+                kept.append([c.copy() for c in part])
+        if kept:
+            yield from linked(kept[0][0][0], np.concatenate([k[1] for k in kept]).view(np.uint64), np.concatenate([k[2] for k in kept]))
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp", "rep").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -181,18 +191,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, bucket_limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id reachable)."""
     if radius != RADIUS:
-        raise ValueError("halves with radius 2 each cover a radius of 4")
+        raise ValueError("variants within two bits cover a radius of four")
     fps = stash(fingerprints(docs, words, id_col, text_col), "fps")
     nodes = stash(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    met = stash(bucket_edges(half_variants(nodes, radius), radius, bucket_limit), "met")
-    members = met.filter("b is null").select("fp", F.col("a").alias("rep")).distinct()
-    edges = met.filter("b is not null").select("a", "b").union(whole_ball_edges(members, radius).select("a", "b"))
-    roots = components(edges)
+    bits = prefix_bits(nodes)
+    roots = components(variant_links(dealt_variants(nodes, bits, radius), bits, radius))
     named = stash(nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component")), "named")
-    discard(met, nodes)
+    discard(nodes)
     return fps.join(named, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -224,28 +224,35 @@ def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [512, 3, 1])
-def test_links_of_fingerprints(spark, limit):
-    """A crowded neighbourhood, chains, and halves that agree by chance; small limits take the whole ball."""
+@pytest.mark.parametrize(("bits", "lot"), [(8, 1 << 21), (8, 3000), (12, 60), (32, 1000)])
+def test_links_of_fingerprints(spark, bits, lot):
+    """A crowded neighbourhood, chains, and halves that agree; small lots split on further bits."""
     r = random.Random(4)
     centre = r.getrandbits(64)
     prints = {0: centre, 1: centre ^ (2**64 - 1), 2: (centre & 0xFFFFFFFF) | (r.getrandbits(32) << 32)}
     for i in range(3, 60):
         base = centre if i < 35 else prints[i - 1]
         prints[i] = base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5)))
-    signed = [(simhash._signed(p), i) for i, p in prints.items()]
+    signed = [(p - 2**64 if p >> 63 else p, i) for i, p in prints.items()]
     nodes = spark.createDataFrame(signed, "fp long, rep long").groupBy("fp").agg({"rep": "min"}).withColumnRenamed("min(rep)", "rep")
-    met = simhash.bucket_edges(simhash.half_variants(nodes, 4), 4, limit).cache()
-    members = met.filter("b is null").selectExpr("fp", "a AS rep").distinct()
-    edges = met.filter("b is not null").select("a", "b").union(simhash.whole_ball_edges(members, 4).select("a", "b"))
-    roots = {x["node"]: x["root"] for x in simhash.components(edges).collect()}
+    links = simhash.variant_links(simhash.dealt_variants(nodes, bits, 4), bits, 4, lot).cache()
+    assert all((prints[r["a"]] ^ prints[r["b"]]).bit_count() <= 4 for r in links.collect())
+    roots = {x["node"]: x["root"] for x in simhash.components(links).collect()}
     first = {}
     for i, p in sorted(prints.items()):
         first.setdefault(p, i)
     comp = brute_components(prints)
     for i, p in prints.items():
         assert roots.get(first[p], first[p]) == comp[i]
-    assert limit > 3 or members.count() > 10
+
+
+def test_balls_and_prefixes(spark):
+    assert len(simhash.ball(64, 2)) == 2081 and len(set(simhash.ball(64, 2))) == 2081
+    nodes = spark.range(3000).selectExpr("id AS fp", "id AS rep")  # all begin alike
+    assert simhash.prefix_bits(nodes) == 8
+    assert simhash.prefix_bits(nodes, most=1 << 20) == 32 and simhash.prefix_bits(nodes.limit(0)) == 8
+    spread = spark.range(3000).selectExpr("xxhash64(id) AS fp", "id AS rep")
+    assert 8 < simhash.prefix_bits(spread, size=1 << 12) < 16
 
 
 def test_components_of_a_long_path(spark):
