@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,5 +17,9 @@ def settled(df: DataFrame) -> DataFrame:
         path = sc.getConf().get("spark.checkpoint.dir")
         if path is None and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(path or "file://" + os.path.join(tempfile.gettempdir(), "loam-checkpoints"))
+        if path is None:
+            own = tempfile.mkdtemp(prefix="loam-checkpoints-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            path = f"file://{own}"
+        sc.setCheckpointDir(path)
     return df.checkpoint()
