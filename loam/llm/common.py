@@ -3,8 +3,11 @@ and word splitting that agrees with the tokenizers library."""
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "loam-shared")
+    return "file://" + _own_folder()
+
+
+@functools.lru_cache(1)
+def _own_folder() -> str:
+    """This process's folder, deleted when it ends."""
+    path = tempfile.mkdtemp(prefix="loam-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 #: Tables that this process has stashed and not deleted yet.
@@ -95,6 +106,15 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def slices(column, size: int = 512):
+    """An Arrow column's values as Python lists of bounded length; memory that Arrow has freed goes back."""
+    import pyarrow as pa
+
+    for a in range(0, len(column), size):
+        yield column.slice(a, size).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 class WordTable(dict):
     """Distinct-word table of one task: a word's value is made once and kept.
 
@@ -102,7 +122,7 @@ class WordTable(dict):
     which words in use are taken over, and a new one begins.
     """
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WordTable, byte_of_char, ids_and_text, stash
+from .common import WordTable, byte_of_char, ids_and_text, slices, stash
 
 CAPACITY = 4096
 END_ID = 1
@@ -76,7 +76,7 @@ def word_table(text: str) -> WordTable:
     model, char = tok.model, {b: c for c, b in byte_of_char().items()}
     special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
     pack_ids = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-    part = WordTable(lambda p: pack_ids([t.id for t in model.tokenize("".join([char[b] for b in p.encode()]))]), limit=200_000)
+    part = WordTable(lambda p: pack_ids([t.id for t in model.tokenize("".join([char[b] for b in p.encode()]))]), limit=120_000)
 
     def ids(word: bytes) -> bytes:
         w = word.decode()
@@ -104,7 +104,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            texts = (t for part in slices(batch.column(1).cast(pa.binary())) for t in part)
+            for doc, text in zip(batch.column(0).to_pylist(), texts):
                 ids = b"".join(map(table.__getitem__, text.split())) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordTable, discard, ids_and_text, remainder, stash
+from .common import WordTable, discard, ids_and_text, remainder, slices, stash
 
 SAMPLE = 3000
 FEATURES = 1500
@@ -71,7 +71,7 @@ class Scorer:
 
     def table(self) -> WordTable:
         get = self.weights.get
-        return WordTable(lambda w: tuple((f, v) for f in word_features(w) if (v := get(f))), limit=300_000)
+        return WordTable(lambda w: tuple((f, v) for f in word_features(w) if (v := get(f))), limit=100_000)
 
     def logit(self, text: str, table) -> float:
         found: dict[str, float] = {}
@@ -203,13 +203,15 @@ def scored(rows: DataFrame, scorer: Scorer, keep: list[str], name: str = "score"
         table = s.table()
         for batch in batches:
             out = []
-            for t in batch.column(0).to_pylist():
-                z = s.logit(t or "", table)
-                out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
+            for texts in slices(batch.column(at)):
+                for t in texts:
+                    z = s.logit(t or "", table)
+                    out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
                 table.trim()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, name])
 
-    return rows.select(F.col("text").alias("__text"), *keep).mapInArrow(run, schema)
+    at = keep.index("text") if "text" in keep else len(keep)  # the text moves once
+    return rows.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
