@@ -33,7 +33,7 @@ MIN_DOCS = 4
 #: A feature enters only this many standard deviations apart: of 100,000 random ones about none is.
 MIN_Z = 5.0
 THRESHOLD = 0.3
-RIDGE = 1e-3
+RIDGE = 2e-4
 COUNTERFACTUAL = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 
