@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are split at places where the byte-level pre-tokenizer must split too, so that a piece
-encodes alike wherever it stands. Each task keeps a table of distinct pieces: a piece is encoded
-once, and its ids are joined back to every position that holds it. Decoding looks each id up in
-the table of ids and their bytes (as large as the vocabulary). Both work within a task: a global
-table would move every distinct word of every partition twice and saves only repeated encoding.
+encodes alike wherever it stands. A task turns its documents into blocks: the block's distinct
+pieces and, for each document, their positions. The pieces are dealt by hash to the tasks of one
+table for all blocks, which encode each distinct piece once; its ids go back to the blocks that hold
+it and are joined to the positions. What moves are packed lists, one for each block and part of the
+table, not a row a piece. Decoding joins ids to their bytes (a table as large as the vocabulary).
 
 Defined results: null text is empty and has no ids; repeated rows give repeated results; an empty
 table gives an empty result; other columns are ignored.
@@ -18,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordTable, byte_of_char, ids_and_text
+from .common import WordTable, byte_of_char, ids_and_text, slices, stash
 from .packing import tokenizer_text
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -30,6 +31,9 @@ SPLIT = re.compile(
     f" ?[{_LETTER}]++(?![^\\x00-\\x7f])| ?[0-9]++(?![^\\x00-\\x7f])| ?(?!')[{_MARK}]++(?![^\\x00-\\x7f])| ?[^{_WS}]+|[{_WS}]+(?=[{_WS}][^{_WS}])|[{_WS}]+"
 )
 SPECIAL = "<|endoftext|>"
+#: A block ends with so many characters or distinct pieces.
+BLOCK_CHARS = 24_000_000
+BLOCK_PIECES = 500_000
 
 
 def split_pieces(text: str) -> list[str]:
@@ -42,8 +46,7 @@ def split_pieces(text: str) -> list[str]:
     return out
 
 
-def _codec(text: str):
-    """(piece -> ids as "12,345,", id as text -> bytes)."""
+def _tokenizer(text: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,33 +55,150 @@ def _codec(text: str):
     tok = Tokenizer.from_str(text)
     tok.no_truncation()
     tok.no_padding()
-    table = WordTable(lambda w: "".join(f"{i}," for i in tok.encode(w, add_special_tokens=False).ids), limit=300_000)
+    return tok
+
+
+def piece_encoder(text: str):
+    """Piece -> its ids, each distinct piece encoded once."""
+    tok = _tokenizer(text)
+    return WordTable(lambda w: tuple(tok.encode(w, add_special_tokens=False).ids), limit=500_000)
+
+
+def bytes_of_ids(text: str) -> dict[int, bytes]:
+    """The vocabulary's table: id -> bytes."""
     char = byte_of_char()
-    bytes_of = {}
-    for word, i in tok.get_vocab(with_added_tokens=True).items():
-        known = all(c in char for c in word)
-        bytes_of[str(i)] = bytes(char[c] for c in word) if known else word.encode()
-    return table, bytes_of
+    return {i: bytes(char[c] for c in w) if all(c in char for c in w) else w.encode() for w, i in _tokenizer(text).get_vocab(with_added_tokens=True).items()}
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the array of ids."""
-    rows = ids_and_text(docs, id_col, text_col)
-    shared = rows.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer, "byte_bpe_50k.json"))
+def _packed(numbers) -> bytes:
+    """Unsigned 32-bit numbers by their bytes' places, squeezed."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.compress(np.asarray(numbers, "<u4").view("u1").reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpacked(data: bytes):
+    import numpy as np
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+_BLOCKS = "block long, part int, pieces binary, doc_id array<bigint>, lens array<int>, pos binary, part_of binary"
+_END = b"\xff"  # no UTF-8 text holds it
+
+
+def _blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
+    """A block's own row (part null), and a row for each part of the table with the pieces it gets."""
 
     def run(batches):
+        import zlib
+        from array import array
+
+        import numpy as np
         import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+
+        class Places(dict):
+            def __missing__(self, piece):
+                self[piece] = at = len(self)
+                return at
+
+        def out(k, places, pos, ids, lens):
+            block = task << 32 | k
+            pieces = [p.encode() for p in places]
+            part_of = np.fromiter((zlib.crc32(p) % parts for p in pieces), np.uint32, len(pieces))
+            order = np.argsort(part_of, kind="stable")
+            cuts = np.searchsorted(part_of[order], np.arange(parts + 1))
+            rows = [(p, zstandard.compress(_END.join([pieces[i] for i in order[cuts[p] : cuts[p + 1]]]), 3)) for p in range(parts) if cuts[p] < cuts[p + 1]]
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n + 1, block)), pa.array([None, *[r[0] for r in rows]], pa.int32()), pa.array([None, *[r[1] for r in rows]], pa.binary()),
+                    pa.array([ids, *[None] * n], pa.list_(pa.int64())), pa.array([lens, *[None] * n], pa.list_(pa.int32())),
+                    pa.array([_packed(np.frombuffer(pos, np.uint32)), *[None] * n], pa.binary()), pa.array([_packed(part_of), *[None] * n], pa.binary()),
+                ],
+                names=["block", "part", "pieces", "doc_id", "lens", "pos", "part_of"],
+            )
+
+        k, size = 0, 0
+        places, pos, ids, lens = Places(), array("I"), [], []
+        for batch in batches:
+            texts = (t for part in slices(batch.column(1)) for t in part)
+            for doc, text in zip(batch.column(0).to_pylist(), texts):
+                pieces = split_pieces(text)
+                pos.extend(map(places.__getitem__, pieces))
+                ids.append(doc)
+                lens.append(len(pieces))
+                size += len(text)
+                if size >= BLOCK_CHARS or len(places) >= BLOCK_PIECES:
+                    yield from out(k, places, pos, ids, lens)
+                    k, size = k + 1, 0
+                    places, pos, ids, lens = Places(), array("I"), [], []
+        if ids:
+            yield from out(k, places, pos, ids, lens)
+
+    return ids_and_text(docs, id_col, text_col).mapInArrow(run, _BLOCKS)
+
+
+def _encoded_blocks(docs: DataFrame, text: str, each, schema, id_col: str, text_col: str) -> DataFrame:
+    """``each(doc_ids, lens, positions, ids of each distinct piece)`` gives the rows of a block."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(text)
+    both = stash(_blocks(docs, parts, id_col, text_col), "pieces")
+
+    def encode_parts(batches):
+        import pyarrow as pa
+        import zstandard
 
-        table, _ = _codec(shared.value)
+        table = piece_encoder(shared.value)
         for batch in batches:
-            ids = []
-            for text in batch.column(1).to_pylist():
-                joined = "".join(map(table.__getitem__, split_pieces(text)))
-                ids.append([int(x) for x in joined.split(",")[:-1]])
+            out = []
+            for data in batch.column(2).to_pylist():
+                found = [table[p.decode()] for p in zstandard.decompress(data).split(_END)]
+                out.append((_packed([len(f) for f in found]), _packed([i for f in found for i in f])))
                 table.trim()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([o[k] for o in out], pa.binary()) for k in range(2)]], names=["block", "part", "counts", "ids"])
+
+    # The part is hashed once more by Spark, so some tasks get two parts and some none.
+    dealt = both.filter("part is not null").select("block", "part", "pieces").repartition(parts, "part")
+    coded = dealt.mapInArrow(encode_parts, "block long, part int, counts binary, ids binary")
+
+    def join_positions(own, coded):
+        import numpy as np
+
+        r = own.to_pylist()[0]
+        part_of, pos = _unpacked(r["part_of"]), _unpacked(r["pos"])
+        ids: list = [()] * len(part_of)
+        for c in coded.to_pylist():
+            flat, cuts = _unpacked(c["ids"]).tolist(), np.concatenate([np.zeros(1, np.int64), np.cumsum(_unpacked(c["counts"]), dtype=np.int64)]).tolist()
+            for k, at in enumerate(np.flatnonzero(part_of == c["part"]).tolist()):
+                ids[at] = flat[cuts[k] : cuts[k + 1]]
+        return each(r["doc_id"], r["lens"], pos, ids)
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    own = both.filter("part is null").select("block", "doc_id", "lens", "pos", "part_of")
+    return own.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_positions, schema)
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the array of ids."""
+
+    def each(doc_ids, lens, pos, ids):
+        import numpy as np
+        import pyarrow as pa
+
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for p in pos.tolist() for i in ids[p]), np.int32)
+        ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[pos], dtype=np.int64)])[ends]
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))})
+
+    return _encoded_blocks(docs, tokenizer_text(tokenizer, "byte_bpe_50k.json"), each, "doc_id long, ids array<int>", id_col, text_col)
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -88,9 +208,9 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        _, bytes_of = _codec(shared.value)
+        table = bytes_of_ids(shared.value)
         for batch in batches:
-            texts = [b"".join([bytes_of[str(i)] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            texts = [b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -107,27 +227,29 @@ DIGESTS = T.StructType(
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text in one pass; digests of both, without moving the ids."""
-    rows = ids_and_text(docs, id_col, text_col)
-    shared = rows.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer, "byte_bpe_50k.json"))
+    """Encode and decode every text; digests of both, so that the ids needn't move again."""
+    text = tokenizer_text(tokenizer, "byte_bpe_50k.json")
+    shared = docs.sparkSession.sparkContext.broadcast(text)
 
-    def run(batches):
+    def each(doc_ids, lens, pos, ids):
         import pyarrow as pa
 
-        table, bytes_of = _codec(shared.value)
-        for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                joined = "".join(map(table.__getitem__, split_pieces(text)))[:-1]
-                table.trim()
-                ids = joined.split(",") if joined else []
-                back = b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=DIGESTS.names)
-
-    return rows.mapInArrow(run, DIGESTS)
+        table = bytes_of_ids(shared.value)
+        # A piece's ids as text and as bytes, once for each distinct piece; positions put them together.
+        written = ["".join([f"{i}," for i in p]) for p in ids]
+        spelled = [b"".join([table[i] for i in p]) for p in ids]
+        counts, ids_sha, text_sha, end = [], [], [], 0
+        for n in lens:
+            at = pos[end : end + n].tolist()
+            end += n
+            joined = "".join([written[k] for k in at])[:-1]
+            back = b"".join([spelled[k] for k in at]).decode("utf-8", "replace")
+            counts.append(joined.count(",") + 1 if joined else 0)
+            ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+            text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
+
+    return _encoded_blocks(docs, text, each, DIGESTS, id_col, text_col)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
