@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.dialect import Dialect
 from loam.functions.generators import Column, Params, Registry, array_type, value_sql
+from loam.plans.checks import parse_check, strip_casts
 from loam.plans.config import ColumnSpec, Config, qualified, split_target
 from loam.plans.graph import Plan, plan
 
@@ -47,15 +48,17 @@ class Generated:
 
 
 class Generator:
-    """fill_cycles: references that close a cycle get values, where by default they are null."""
+    """fill_cycles: references that close a cycle get values, where by default they are null.
+    verify_checks: rows that break a CHECK which no parameter expresses are drawn again, then dropped."""
 
-    def __init__(self, spark: SparkSession, cfg: Config, registry: Registry | None = None, existing: dict[str, DataFrame] | None = None, fill_cycles: bool = False, hash: str = "md5", partitions: int | None = None):
+    def __init__(self, spark: SparkSession, cfg: Config, registry: Registry | None = None, existing: dict[str, DataFrame] | None = None, fill_cycles: bool = False, hash: str = "md5", partitions: int | None = None, verify_checks: bool = False):
         self.spark, self.cfg, self.registry = spark, cfg, registry or Registry()
         self.existing = {qualified(k): v for k, v in (existing or {}).items()}
         self.fill_cycles, self.partitions = fill_cycles, partitions
         self.plan, self.hash = plan(cfg), hash
         self.warnings: list[str] = []
         self.sets: dict[str, list[UniqueSet]] = {k: unique_sets(t, self.registry) for k, t in cfg.tables.items()}
+        self.rules = {k: [spark_check(c["expression"]) for c in t.checks if not pushed_down(c)] if verify_checks else [] for k, t in cfg.tables.items()}
         self.done: dict[str, DataFrame] = {}
         self._numbered: dict[str, tuple[DataFrame, int]] = {}
 
@@ -66,7 +69,7 @@ class Generator:
 
     def pure(self, key: str) -> bool:
         """Whether row n of the table is known without making the table: nothing can be dropped."""
-        return key in self.cfg.tables and key not in self.existing and not any(s.needs_rounds for s in self.sets[key])
+        return key in self.cfg.tables and key not in self.existing and not self.rules[key] and not any(s.needs_rounds for s in self.sets[key])
 
     def rows_of(self, key: str) -> int:
         return self.plan.counts.get(key, 0)
@@ -193,11 +196,18 @@ class Generator:
         n = self.rows_of(key)
         rows = self.spark.range(0, n, 1, self.partitions or max(1, min(2_000, -(-n // 1_000_000)))).withColumnRenamed("id", "row")
         sets = [s for s in self.sets[key] if s.needs_rounds]
-        if not sets:
+        if not sets and not self.rules[key]:
             return self.project(key, rows, "0"), None
-        kept = resample(rows, lambda r, a: self.project(key, r, str(a)), [s.columns for s in sets], 0 if any(s.constant for s in sets) else RETRIES)
+
+        def draw(r: DataFrame, attempt: int) -> DataFrame:
+            out = self.project(key, r, str(attempt))
+            for rule in self.rules[key]:
+                out = out.filter(F.coalesce(F.expr(rule), F.lit(True)))
+            return out
+
+        kept = resample(rows, draw, [s.columns for s in sets], 0 if any(s.constant for s in sets) else RETRIES)
         emitted = kept.count()
-        reason = "constant UNIQUE columns" if any(s.constant for s in sets) else f"no unique row in {RETRIES} retries"
+        reason = "constant UNIQUE columns" if any(s.constant for s in sets) else f"no fitting row in {RETRIES} retries"
         return kept, Dropped(key, n, emitted, reason) if emitted < n else None
 
     def run(self, keep_row: bool = False) -> Generated:
@@ -213,6 +223,16 @@ class Generator:
         return out
 
 
+def pushed_down(check: dict) -> bool:
+    names = check.get("columns") or []
+    return len(names) == 1 and parse_check(check["expression"], names[0]) is not None
+
+
+def spark_check(expression: str) -> str:
+    """A CHECK's text for Spark: casts go, as columns have their types already."""
+    return strip_casts(expression)
+
+
 def dense_index(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` with ``__ix`` from 0 without gaps, and its rows.
 

@@ -26,10 +26,15 @@ def _outside(text: str):
             yield i, depth
 
 
+def strip_casts(text: str) -> str:
+    """Without ``::type`` outside string literals."""
+    pieces = re.split(r"('(?:[^']|'')*')", text)
+    return "".join(p if i % 2 else _CAST.sub("", p) for i, p in enumerate(pieces))
+
+
 def _bare(text: str) -> str:
     """Without casts, needless brackets around names, numbers and the whole."""
-    pieces = re.split(r"('(?:[^']|'')*')", text)
-    text = "".join(p if i % 2 else _CAST.sub("", p) for i, p in enumerate(pieces))
+    text = strip_casts(text)
     text = re.sub(r"(?<![\w])\(\s*(\"?\w+\"?|-?\d+(?:\.\d+)?)\s*\)", r"\1", text)
     text = re.sub(r"(char_length|character_length|length)\s*\(?\s*\(*(\"?\w+\"?)\)*", r"\1(\2)", text, flags=re.I)
     return _stripped(text)

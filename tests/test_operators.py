@@ -78,6 +78,14 @@ def test_nulls_do_not_collide(spark):
     assert made.tables["public.t"].count() == 3 and made.warnings
 
 
+def test_checks_across_columns(spark):
+    part = {"factory": "integer", "params": {"min": 1, "max": 20}, "data_type": "integer"}
+    table = {"row_count": 500, "checks": [{"name": "c", "expression": "((a)::integer < b)", "columns": ["a", "b"]}], "columns": {"a": part, "b": part}}
+    made = run(spark, {"t": table}, verify_checks=True)
+    assert made.tables["public.t"].count() == 500 and made.tables["public.t"].filter("a >= b").count() == 0 and not made.dropped
+    assert run(spark, {"t": table}).tables["public.t"].filter("a >= b").count() > 0
+
+
 def test_null_fraction(spark):
     t = run(spark, {"t": {"row_count": 4000, "columns": {"a": {"factory": "city", "nullable": True, "params": {"null_fraction": 0.25}}, "b": {"factory": "city", "params": {"null_fraction": 0.5}}}}}).tables["public.t"]
     assert 850 < t.filter("a is null").count() < 1150 and t.filter("b is null").count() == 0
