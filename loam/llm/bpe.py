@@ -32,7 +32,7 @@ SPLIT = re.compile(
 )
 SPECIAL = "<|endoftext|>"
 #: A block ends with so many characters or distinct pieces.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 BLOCK_PIECES = 500_000
 
 
@@ -85,6 +85,25 @@ def _unpacked(data: bytes):
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
+def _packed_positions(ranks) -> bytes:
+    """A byte each for the 255 most frequent pieces; the others' numbers stand behind, by bytes' places."""
+    import numpy as np
+    import zstandard
+
+    rare = _packed(ranks[ranks >= 255] - 255)
+    return len(rare).to_bytes(8, "little") + rare + zstandard.compress(np.minimum(ranks, 255).astype("u1").tobytes(), 3)
+
+
+def _unpacked_positions(data: bytes):
+    import numpy as np
+    import zstandard
+
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(zstandard.decompress(data[8 + n :]), "u1").astype(np.uint32)
+    out[out == 255] = _unpacked(data[8 : 8 + n]) + 255
+    return out
+
+
 _BLOCKS = "block long, part int, pieces binary, doc_id array<bigint>, lens array<int>, pos binary, part_of binary"
 _END = b"\xff"  # no UTF-8 text holds it
 
@@ -110,7 +129,12 @@ def _blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFram
 
         def out(k, places, pos, ids, lens):
             block = task << 32 | k
-            pieces = [p.encode() for p in places]
+            flat = np.frombuffer(pos, np.uint32)
+            often = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")  # pieces by falling count
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often), dtype=np.uint32)
+            named = list(places)
+            pieces = [named[i].encode() for i in often]
             part_of = np.fromiter((zlib.crc32(p) % parts for p in pieces), np.uint32, len(pieces))
             order = np.argsort(part_of, kind="stable")
             cuts = np.searchsorted(part_of[order], np.arange(parts + 1))
@@ -120,7 +144,7 @@ def _blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFram
                 [
                     pa.array(np.full(n + 1, block)), pa.array([None, *[r[0] for r in rows]], pa.int32()), pa.array([None, *[r[1] for r in rows]], pa.binary()),
                     pa.array([ids, *[None] * n], pa.list_(pa.int64())), pa.array([lens, *[None] * n], pa.list_(pa.int32())),
-                    pa.array([_packed(np.frombuffer(pos, np.uint32)), *[None] * n], pa.binary()), pa.array([_packed(part_of), *[None] * n], pa.binary()),
+                    pa.array([_packed_positions(rank[flat]), *[None] * n], pa.binary()), pa.array([_packed(part_of), *[None] * n], pa.binary()),
                 ],
                 names=["block", "part", "pieces", "doc_id", "lens", "pos", "part_of"],
             )
@@ -173,7 +197,7 @@ def _encoded_blocks(docs: DataFrame, text: str, each, schema, id_col: str, text_
         import numpy as np
 
         r = own.to_pylist()[0]
-        part_of, pos = _unpacked(r["part_of"]), _unpacked(r["pos"])
+        part_of, pos = _unpacked(r["part_of"]), _unpacked_positions(r["pos"])
         ids: list = [()] * len(part_of)
         for c in coded.to_pylist():
             flat, cuts = _unpacked(c["ids"]).tolist(), np.concatenate([np.zeros(1, np.int64), np.cumsum(_unpacked(c["counts"]), dtype=np.int64)]).tolist()
