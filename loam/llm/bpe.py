@@ -13,6 +13,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -46,6 +47,7 @@ def split_pieces(text: str) -> list[str]:
     return out
 
 
+@functools.lru_cache(1)
 def _tokenizer(text: str):
     import os
 
@@ -64,6 +66,7 @@ def piece_encoder(text: str):
     return WordTable(lambda w: tuple(tok.encode(w, add_special_tokens=False).ids), limit=500_000)
 
 
+@functools.lru_cache(1)
 def bytes_of_ids(text: str) -> dict[int, bytes]:
     """The vocabulary's table: id -> bytes."""
     char = byte_of_char()
