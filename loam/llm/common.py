@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import atexit
 import functools
-import os
 import re
 import shutil
 import tempfile
