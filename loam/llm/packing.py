@@ -80,6 +80,9 @@ def word_table(text: str) -> WordTable:
 
     def ids(word: bytes) -> bytes:
         w = word.decode()
+        if word.isalpha():  # ASCII letters alone: one part
+            part.trim()
+            return part[w.lower()]
         if _PLAIN.fullmatch(w) and not ("<" in w and any(s in w for s in special)):
             out = b"".join([part[p] for p in _PARTS.findall(w.lower())])
             part.trim()
