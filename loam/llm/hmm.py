@@ -45,21 +45,34 @@ def _cut(lens: np.ndarray):
     return np.minimum(at, max(0, lens.sum() - 1)), there, first, n
 
 
-def _products(model: Model, table: np.ndarray, x: np.ndarray, there: np.ndarray):
+def _lots(there: np.ndarray):
+    """Chunks in lots, the longest first, and how many of a lot's chunks have a symbol at each step."""
+    size = there.sum(1)
+    order = np.argsort(-size, kind="stable")
+    for a in range(0, len(order), LOT):
+        lot = order[a : a + LOT]
+        yield lot, np.searchsorted(-size[lot], -np.arange(STEP), side="left")
+
+
+def _products(model: Model, x: np.ndarray, there: np.ndarray):
     k = len(model.start)
     out, logs = np.empty((len(x), k, k)), np.zeros(len(x))
-    for a in range(0, len(x), LOT):
-        xs, ok = x[a : a + LOT], there[a : a + LOT]
-        m = np.broadcast_to(np.eye(k), (len(xs), k, k)).copy()
+    move = np.ascontiguousarray(model.step.T)
+    for lot, act in _lots(there):
+        xs = np.ascontiguousarray(x[lot].T)
+        m = np.repeat(np.eye(k)[:, :, None], len(lot), 2)  # [i, j, chunk]
         for t in range(STEP):
-            nxt = (m.reshape(-1, k) @ model.step).reshape(-1, k, k)
-            nxt *= table[xs[:, t]][:, None, :]
-            m = nxt if ok[:, t].all() else np.where(ok[:, t][:, None, None], nxt, m)
+            n = int(act[t])
+            if not n:
+                break
+            nxt = move @ m[:, :, :n]
+            nxt *= model.emit.take(xs[t, :n], 1)
+            m[:, :, :n] = nxt
             if t % 8 == 7:
-                s = m.max((1, 2))
-                m /= s[:, None, None]
-                logs[a : a + LOT] += np.log(s)
-        out[a : a + LOT] = m
+                s = m.max((0, 1))
+                m /= s
+                logs[lot] += np.log(s)
+        out[lot] = m.transpose(2, 0, 1)
     return out, logs
 
 
@@ -101,7 +114,7 @@ def likelihoods(model: Model, symbols: np.ndarray, lens: np.ndarray) -> np.ndarr
     if not len(lens):
         return np.zeros(0)
     at, there, first, n = _cut(np.asarray(lens, np.int64))
-    m, logs = _products(model, np.ascontiguousarray(model.emit.T), symbols[at], there)
+    m, logs = _products(model, symbols[at], there)
     return _forward(model, m, logs, first, n)[0]
 
 
@@ -111,43 +124,42 @@ def expected_counts(model: Model, symbols: np.ndarray, lens: np.ndarray):
     start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
     if not len(lens):
         return start, step, emit, 0.0
-    table = np.ascontiguousarray(model.emit.T)
     at, there, first, n = _cut(np.asarray(lens, np.int64))
     x = symbols[at]
-    m, logs = _products(model, table, x, there)
+    m, logs = _products(model, x, there)
     ll, before = _forward(model, m, logs, first, n)
     after = _behind(model, m, first, n)
     heads = np.zeros(len(x), bool)
     heads[first] = True
-    for a in range(0, len(x), LOT):
-        xs, ok, alpha = x[a : a + LOT], there[a : a + LOT], before[a : a + LOT]
-        alphas = np.empty((STEP + 1, len(xs), k))
-        alphas[0] = alpha
+    move = np.ascontiguousarray(model.step.T)
+    for lot, act in _lots(there):
+        xs = np.ascontiguousarray(x[lot].T)
+        alphas, gammas = np.empty((STEP + 1, k, len(lot))), np.zeros((STEP, k, len(lot)))
+        alphas[0] = before[lot].T
+        moves = []  # emissions of each step over the forward vector's sum
         for t in range(STEP):
-            nxt = alpha @ model.step
-            nxt *= table[xs[:, t]]
-            nxt /= nxt.sum(1, keepdims=True)
-            alpha = alphas[t + 1] = nxt if ok[:, t].all() else np.where(ok[:, t][:, None], nxt, alpha)
-        beta = after[a : a + LOT].copy()
-        gammas = np.empty((STEP, len(xs), k))
+            j = int(act[t])
+            e = model.emit.take(xs[t, :j], 1)
+            v = move @ alphas[t, :, :j]
+            v *= e
+            s = v.sum(0)
+            np.divide(v, s, out=alphas[t + 1, :, :j])
+            alphas[t + 1, :, j:] = alphas[t, :, j:]
+            e /= s
+            moves.append(e)
+        # Scaled so that forward times backward is the state's probability.
+        beta = np.ascontiguousarray(after[lot].T)
+        beta /= (alphas[STEP] * beta).sum(0)
         for t in range(STEP - 1, -1, -1):
-            v = table[xs[:, t]] * beta
-            g = alphas[t + 1] * beta
-            g /= g.sum(1, keepdims=True)
-            gammas[t] = g
-            z = ((alphas[t] @ model.step) * v).sum(1)
-            w = v / z[:, None]
-            if not ok[:, t].all():
-                w[~ok[:, t]] = 0
-                gammas[t][~ok[:, t]] = 0
-            step += alphas[t].T @ w
-            nxt = v @ model.step.T
-            nxt /= nxt.max(1, keepdims=True)
-            beta = nxt if ok[:, t].all() else np.where(ok[:, t][:, None], nxt, beta)
-        h = heads[a : a + LOT]
-        s = alphas[0][h] * beta[h]
-        start += (s / s.sum(1, keepdims=True)).sum(0)
-        flat = np.ascontiguousarray(xs.T).ravel()
+            j = int(act[t])
+            np.multiply(alphas[t + 1, :, :j], beta[:, :j], out=gammas[t, :, :j])
+            w = moves[t]
+            w *= beta[:, :j]
+            step += alphas[t, :, :j] @ w.T
+            beta[:, :j] = model.step @ w
+        h = heads[lot]
+        start += (alphas[0][:, h] * beta[:, h]).sum(1)
+        flat = xs.ravel()
         for i in range(k):
-            emit[i] += np.bincount(flat, weights=gammas[:, :, i].ravel(), minlength=c)
+            emit[i] += np.bincount(flat, weights=gammas[:, i].ravel(), minlength=c)
     return start, step * model.step, emit, float(ll.sum())

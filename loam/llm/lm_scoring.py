@@ -5,8 +5,8 @@ positions of its words in that list. Only distinct words of blocks are shuffled:
 for the corpus counts and go back to their blocks. The model emits word classes (words of at most
 four bytes by themselves, longer ones by their last three bytes, hashed to ``CLASSES``; the end has
 its own) and, within a class, words by their smoothed counts, with one place for unknown words in
-each. Baum-Welch counts are summed across partitions: each pass runs over every training document.
-Only the point to start from is fitted to a bounded sample (``START_TOKENS`` tokens of one block).
+each. Baum-Welch counts are summed across partitions: each pass, ``START_PASSES`` and ``PASSES`` of
+them, runs over every training document, from emissions at random around the corpus counts of the classes.
 
 Defined results: null text is empty: its only token is the end; a null id counts as the empty text
 in the choice of training documents; repeated rows give repeated results; with no training
@@ -25,7 +25,6 @@ from .common import ids_and_text, remainder, stash
 CLASSES = 4096
 STATES = 6
 PASSES = 2
-START_TOKENS = 200_000
 START_PASSES = 8
 BLOCK_CHARS = 24_000_000
 BLOCK_WORDS = 400_000
@@ -141,8 +140,9 @@ def _train_rows(table):
         yield _open(r["classes"]), _open(r["pos"]), r["lens"], np.array(r["held"], bool)
 
 
-def train(own: DataFrame, states: int = STATES, passes: int = PASSES):
-    """The model after ``passes`` of Baum-Welch over all training documents of the blocks' own rows."""
+def train(own: DataFrame, symbol_counts, states: int = STATES, passes: int = PASSES):
+    """The model after Baum-Welch over all training documents of the blocks' own rows, in ``START_PASSES``
+    and ``passes`` rounds; ``symbol_counts``: each class's and the end's count in those documents."""
     import numpy as np
 
     from .hmm import Model
@@ -150,9 +150,9 @@ def train(own: DataFrame, states: int = STATES, passes: int = PASSES):
     spark = own.sparkSession
     data = own.select("block", "classes", "pos", "lens", "held")
     size = states * (CLASSES + 1)
-    lowest = data.agg(F.min("block")).first()[0]
-    if lowest is None:
-        return Model.first(states, np.zeros(CLASSES + 1))
+    model = Model.first(states, symbol_counts)
+    if not symbol_counts.any():
+        return model
 
     def pack(start, step, emit):
         return np.concatenate([start, step.ravel(), emit.ravel()])
@@ -172,20 +172,6 @@ def train(own: DataFrame, states: int = STATES, passes: int = PASSES):
         at = np.flatnonzero(flat)
         return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["ix", "v"])
 
-    def begin(batches):
-        from loam.llm import hmm
-
-        for batch in batches:
-            for classes, pos, lens, held in _train_rows(batch):
-                chosen = ~held & (np.cumsum(np.where(held, 0, np.array(lens) + 1)) <= START_TOKENS)
-                x, n = _sequences(classes, pos, lens, chosen)
-                model = hmm.Model.first(states, np.bincount(x, minlength=CLASSES + 1))
-                counts = None
-                for _ in range(START_PASSES):
-                    *counts, _ = hmm.expected_counts(model, x, n)
-                    model = hmm.Model.from_counts(*counts)
-                yield rows(pack(*counts))
-
     def count(shared):
         def run(batches):
             from loam.llm import hmm
@@ -199,8 +185,7 @@ def train(own: DataFrame, states: int = STATES, passes: int = PASSES):
 
         return run
 
-    model = Model.from_counts(*unpack(summed(data.filter(F.col("block") == lowest).mapInArrow(begin, "ix int, v double"))))
-    for _ in range(passes):
+    for _ in range(START_PASSES + passes):
         shared = spark.sparkContext.broadcast((model.start, model.step, model.emit))
         model = Model.from_counts(*unpack(summed(data.mapInArrow(count(shared), "ix int, v double"))))
     return model
@@ -231,7 +216,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_rest: int = 2, state
         n_cls[r["cls"]], v_cls[r["cls"]] = r["c"], r["v"]
     ends = own.select(F.explode("held").alias("h")).filter("not h").count()
     total, distinct = int(n_cls.sum()) + ends, int(v_cls.sum()) + (ends > 0)
-    model = train(own, states, passes)
+    model = train(own, np.append(n_cls, ends), states, passes)
     shared = spark.sparkContext.broadcast((model.start, model.step, model.emit, n_cls, v_cls))
 
     def run(payload, words):

@@ -136,6 +136,19 @@ def test_blocks_do_not_matter(spark, sf, monkeypatch):
     assert whole.keys() == parts.keys() and all(math.isclose(whole[i], parts[i], rel_tol=1e-9) for i in whole)
 
 
+def test_language_model_starts_from_all_training_documents(spark, sf):
+    """Where the first block holds held-out documents alone, as where any documents are first."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    rows = sorted((tuple(r) for r in docs.collect()), key=lambda r: zlib.crc32(str(r[0]).encode()) % 7 != 2)
+    assert all(zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows[:10])
+    frame = lambda x: spark.createDataFrame(spark.sparkContext.parallelize(x, 6), "doc_id long, text string")
+    apart = lm_scoring.score_documents(frame(rows)).collect()
+    other = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(frame(rows[::-1])).collect()}
+    assert all(math.isclose(r["score"], other[r["doc_id"]], rel_tol=1e-6) for r in apart)
+    one = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, states=1).collect()}
+    assert sum(r["score"] for r in apart if not r["held_out"]) > sum(one[r["doc_id"]] for r in apart if not r["held_out"]) + 1
+
+
 def test_language_model_without_training_rows(spark, empty):
     assert lm_scoring.score_documents(empty).count() == 0
     one = spark.createDataFrame([(7, "a b")], "doc_id long, text string")
