@@ -2,9 +2,8 @@
 
 A line descends a tree of fixed depth: its token count, then its first ``depth`` tokens, with
 tokens that hold a digit as the wildcard. Lines meet in a leaf. A line that recurs as it stands in
-``min_docs`` documents is its own template. In leaves where the other lines come from as many
-documents, tokens that fewer than ``min_docs`` of them have at a position become wildcards; what
-is left is their template, if at least ``min_constant`` of its tokens are constant. Recurring
+``min_docs`` documents is its own template. Among the other lines of a leaf, tokens that fewer than
+``min_docs`` distinct documents have at a position become wildcards; what is left is their template, if at least ``min_constant`` of its tokens are constant. Recurring
 templates are dropped from all documents but the one with the smallest id.
 
 Lines are counted by two hashes of 64 bits each, made once and kept in shared storage, and identical
@@ -51,34 +50,38 @@ def _key(line: Column) -> list[Column]:
 
 
 def _light(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """doc_id, h1, h2, leaf of the distinct lines of each document that take part."""
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
-    return lines.withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") >= min_tokens).select("doc_id", *_key(F.col("line")), _leaf("tokens", depth).alias("leaf"))
+    """doc_id, row (of rows without an id), h1, h2, leaf of the distinct lines of each document that take part."""
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row")
+    lines = docs.select("doc_id", row, F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
+    return lines.withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") >= min_tokens).select("doc_id", "row", *_key(F.col("line")), _leaf("tokens", depth).alias("leaf"))
 
 
-def _varied(docs: DataFrame, lines: DataFrame, min_docs: int, depth: int, min_constant: float) -> DataFrame:
+def _varied(docs: DataFrame, light: DataFrame, lines: DataFrame, min_docs: int, depth: int, min_constant: float) -> DataFrame:
     """h1, h2, template, n_docs, keeper of lines that don't recur themselves but whose template does."""
     rest = lines.filter((F.col("n_docs") < min_docs) & F.col("first").isNotNull())
     full = stash(rest.groupBy("leaf").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    found = stash(rest.join(full, "leaf", "left_semi").select("h1", "h2", "n_docs", "first"), "candidates")
+    found = rest.join(full, "leaf", "left_semi").select("h1", "h2", "first")
+    holders = light.join(found, ["h1", "h2"]).groupBy("h1", "h2", "first")  # fewer than min_docs each
+    found = stash(holders.agg(F.collect_set(F.struct("doc_id", "row")).alias("docs")), "candidates")
     wanted = found.groupBy("first").agg(F.collect_set("h1").alias("wanted"))
     texts = docs.filter("doc_id is not null").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("first"))
     some = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: F.array_contains("wanted", F.xxhash64(x)))
     own = texts.select(F.explode(some).alias("line")).select(*_key(F.col("line")), _masked(_tokens(F.col("line"))).alias("tokens"))
     own = own.dropDuplicates(["h1", "h2"]).join(found, ["h1", "h2"])
     own = stash(own.withColumn("leaf", _leaf("tokens", depth)), "varied")
-    at = own.select("h1", "h2", "n_docs", "leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != WILD)
-    at = at.select("h1", "h2", "n_docs", "pos", F.xxhash64("leaf", "pos", "token").alias("slot"))
-    common = stash(at.groupBy("slot").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("slot"), "slots")
+    at = own.select("h1", "h2", "docs", "leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != WILD)
+    at = at.select("h1", "h2", "docs", "pos", F.xxhash64("leaf", "pos", "token").alias("slot"))
+    common = stash(at.select("slot", F.explode("docs").alias("doc")).groupBy("slot").agg(F.count_distinct("doc").alias("n")).filter(F.col("n") >= min_docs).select("slot"), "slots")
     constant = at.join(common, "slot", "left_semi").groupBy("h1", "h2").agg(F.collect_set("pos").alias("constant"))
     template = F.array_join(F.transform("tokens", lambda t, i: F.when(F.array_contains("constant", i), t).otherwise(F.lit(WILD))), " ")
     general = (
         own.join(constant, ["h1", "h2"])
         .filter(F.size("constant") >= min_constant * F.size("tokens"))
-        .select("h1", "h2", "n_docs", "first", template.alias("template"))
+        .select("h1", "h2", "docs", "first", template.alias("template"))
     )
     general = stash(general, "general")
-    recurring = stash(general.groupBy("template").agg(F.sum("n_docs").alias("all"), F.min("first").alias("keeper")).filter(F.col("all") >= min_docs), "templates")
+    held = general.select("template", "first", F.explode("docs").alias("doc")).groupBy("template")
+    recurring = stash(held.agg(F.count_distinct("doc").alias("all"), F.min("first").alias("keeper")).filter(F.col("all") >= min_docs), "templates")
     out = stash(general.join(recurring, "template").select("h1", "h2", "template", F.col("all").alias("n_docs"), "keeper"), "generalised")
     discard(full, found, own, common, general, recurring)
     return out
@@ -89,7 +92,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     light = stash(_light(plain, min_tokens, depth), "light")
     lines = stash(light.groupBy("h1", "h2", "leaf").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")), "lines")
-    varied = _varied(plain, lines, min_docs, depth, min_constant)
+    varied = _varied(plain, light, lines, min_docs, depth, min_constant)
     exact = lines.filter(F.col("n_docs") >= min_docs).select("h1", "h2", F.col("first").alias("keeper"))
     drop = stash(exact.union(varied.select("h1", "h2", "keeper")), "drop")
     discard(lines, varied)

@@ -321,6 +321,16 @@ def test_line_dedup(spark, sf, odd):
     assert "reserved" in text[200] and "reserved" not in text[203]
 
 
+def test_line_dedup_counts_documents_not_lines(spark):
+    """Variants in one document count once; so do rows of one id, while a row without an id counts."""
+    long = "Row 1 has value x\nRow 2 has value x\nRow 3 has value x"
+    kept = lambda rows: {i: t for i, t, _ in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    two = [(1, long), (2, "Row 9 has value x"), (2, "Row 9 has value x")]
+    assert kept(two) == dict(two)
+    assert kept([*two, (3, "Row 7 has value x")]) == {1: long, 2: "", 3: ""}
+    assert kept([*two[:2], (None, "Row 9 has value x")])[2] == ""
+
+
 def test_line_dedup_keeps_columns(odd, empty):
     got = line_dedup.drop_lines(odd)
     assert got.columns == [*odd.columns, "n_dropped"] and got.count() == odd.count()
