@@ -86,6 +86,27 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+#: A key with over one in so many of the rows is hot; there are at most so many hot keys.
+HOT_SHARE = 10_000
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, least: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key, on ``keys``: whatever share a key has.
+
+    ``count`` is a column of ``table``: at least as many ``rows`` as have the key; the counts add up to
+    ``total`` at most. Keys with over ``total / HOT_SHARE`` (and over ``least``) of them are thus
+    at most ``HOT_SHARE``: a bounded table, which is broadcast. All others meet by shuffle, none of
+    them with more rows than that. Both inputs are read twice, so they should be stashed.
+    """
+    limit = max(least, total // HOT_SHARE)
+    hot = table.filter(F.col(count) > limit)
+    if total <= limit or hot.isEmpty():
+        return rows.join(table, keys)
+    few = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col(count) <= limit), keys)
+    return few.unionByName(rest)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or what no column of ``df`` is called yet."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -36,3 +36,13 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
 def test_fresh_names(spark):
     assert common.fresh(spark.range(1).selectExpr("id AS Score", "id AS _score"), "score") == "__score"
+
+
+def test_attach_whatever_share_a_key_has(spark):
+    rows = common.stash(spark.range(400).selectExpr("if(id < 300, 7, id) AS k", "id"), "rows")
+    table = common.stash(rows.filter("id % 3 = 0").groupBy("k").count(), "table")
+    n = common.stash(rows.groupBy("k").count().join(table.select("k"), "k", "left_semi"), "n")
+    want = sorted(map(tuple, rows.join(n, "k").collect()))
+    for least in (1, 1000):
+        assert sorted(map(tuple, common.attach(rows, n, ["k"], "count", 400, least).collect())) == want
+    common.discard(rows, table, n)

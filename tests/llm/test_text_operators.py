@@ -272,34 +272,37 @@ def test_components_of_a_long_path(spark):
 
 
 def brute_lines(rows, min_docs=3, min_tokens=3, depth=3, constant=0.6):
+    """Straight from the definition: every line in the tree, every document that holds it in full."""
     split = lambda s: re.split(r"[\x20\x09-\x0D]+", s.strip(" \t\n\x0b\x0c\r"))
     mask = lambda s: ["<*>" if re.search("[0-9]", t) else t for t in split(s)]
     leaf = lambda s: (len(split(s)), *mask(s)[:depth])
-    held = defaultdict(list)
-    for i, t in rows:
-        for line in set((t or "").split("\n")):
+    low = lambda docs: min((x for x, own in docs if own is None), default=None)
+    held = defaultdict(set)  # line -> documents: an id, or a row without one
+    for n, (i, t) in enumerate(rows):
+        for line in (t or "").split("\n"):
             if len(split(line)) >= min_tokens:
-                held[line].append(i)
-    low = lambda s: min((x for x in s if x is not None), default=None)
-    drop = {s: low(i) for s, i in held.items() if len(i) >= min_docs}
-    rest = {s: i for s, i in held.items() if len(i) < min_docs and low(i) is not None}
-    leaves = Counter()
-    for s, i in rest.items():
-        leaves[leaf(s)] += len(i)
-    rest = {s: i for s, i in rest.items() if leaves[leaf(s)] >= min_docs}
-    slots = Counter()
-    for s, i in rest.items():
-        for p, t in enumerate(mask(s)):
-            slots[leaf(s), p, t] += len(i)
+                held[line].add((i, n if i is None else None))
+    drop = {s: low(docs) for s, docs in held.items() if len(docs) >= min_docs}
+    tree = {s: docs for s, docs in held.items() if low(docs) is not None}
+    slots, fields, words = defaultdict(set), defaultdict(set), defaultdict(set)
+    around = lambda m, p: (m[p - 1] if p else "", m[p + 1] if p + 1 < len(m) else "")
+    for s, docs in tree.items():
+        m, at = mask(s), leaf(s)
+        for p, t in enumerate(m):
+            slots[at, p, t] |= docs
+            fields[at, p, around(m, p)] |= docs
+            words[at, p, around(m, p)].add(t)
     templates = defaultdict(list)
-    for s in rest:
-        m = [t if t != "<*>" and slots[leaf(s), p, t] >= min_docs else "<*>" for p, t in enumerate(mask(s))]
-        if sum(t != "<*>" for t in m) >= constant * len(m):
-            templates[" ".join(m)].append(s)
+    for s in tree:
+        m, at = mask(s), leaf(s)
+        varies = lambda p, m=m, at=at: len(words[at, p, around(m, p)]) > 1 and len(fields[at, p, around(m, p)]) >= min_docs
+        shape = [t if t != "<*>" and len(slots[at, p, t]) >= min_docs and not varies(p) else "<*>" for p, t in enumerate(m)]
+        if sum(t != "<*>" for t in shape) >= constant * len(shape):
+            templates[" ".join(shape)].append(s)
     for lines in templates.values():
-        if sum(len(rest[s]) for s in lines) >= min_docs:
-            keeper = min(low(rest[s]) for s in lines)
-            drop |= {s: keeper for s in lines}
+        docs = set().union(*(tree[s] for s in lines))
+        if len(docs) >= min_docs:
+            drop |= {s: low(docs) for s in lines}
     out = []
     for i, t in rows:
         kept = [s for s in (t or "").split("\n") if i is None or s not in drop or drop[s] == i]
@@ -331,6 +334,45 @@ def test_line_dedup_counts_documents_not_lines(spark):
     assert kept([*two[:2], (None, "Row 9 has value x")])[2] == ""
 
 
+def lines_kept(spark, rows):
+    return {i: t for i, t, _ in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_recurring_lines_stand_in_the_tree(spark):
+    """A line of three documents and two variants in two others: one template of five documents."""
+    rows = [(k, "User logged in as ann today") for k in (1, 2, 3)] + [(4, "User logged in as bob today"), (5, "User logged in as cid today")]
+    assert lines_kept(spark, rows) == {1: rows[0][1], 2: "", 3: "", 4: "", 5: ""}
+    # Variants that each recur are one template, and one copy stays.
+    many = [(10 * k + j, f"Posted to the board by {name} this week") for k, name in enumerate(["ann", "bob", "cid", "dan"]) for j in (1, 2, 3)]
+    assert [i for i, t in lines_kept(spark, many).items() if t] == [1]
+    # Two documents alone hold no recurring template, however many lines they have of it.
+    few = [(1, "\n".join(f"User logged in as {n} today" for n in ("ann", "bob", "cid", "dan"))), (2, "User logged in as eve today")]
+    assert lines_kept(spark, few) == dict(few)
+    assert lines_kept(spark, [*few, *few[1:] * 3]) == dict(few)
+
+
+def test_line_dedup_on_made_logs(spark, monkeypatch):
+    """Against brute force: fields of one word and of several, hot lines, prose; hot keys by broadcast as well."""
+    from loam.llm import common
+
+    r = random.Random(3)
+    shapes = ["user {} logged in from {} at noon", "job {} took {} of the time", "the page was read by {} and {} again", "copyright of the town and of {} people", "a note without any field at all"]
+    names = ["ann", "bob", "cid", "dan", "eve", "n1", "n2", "x9"]
+    rows = []
+    for i in range(90):
+        lines = [s.format(r.choice(names), r.choice(names)) for s in r.sample(shapes, r.randint(0, 3))]
+        lines += [" ".join(r.choice(["a", "note", "without", "the", "page", "field"]) for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 2))]
+        rows.append((None if i % 17 == 0 else i // 2 if i % 5 == 0 else i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    rows = [tuple(x) for x in df.collect()]
+    want = brute_lines(rows)
+    assert sum(x[2] for x in want) > 50
+    assert sorted(map(tuple, line_dedup.drop_lines(df).collect()), key=key) == want
+    split = common.attach
+    monkeypatch.setattr(line_dedup, "attach", lambda *a: split(*a, least=2))
+    assert sorted(map(tuple, line_dedup.drop_lines(df).collect()), key=key) == want
+
+
 def test_line_dedup_keeps_columns(odd, empty):
     got = line_dedup.drop_lines(odd)
     assert got.columns == [*odd.columns, "n_dropped"] and got.count() == odd.count()
