@@ -44,6 +44,22 @@ def test_exact_dedup(spark, sf, odd, salts):
         assert got == brute_dedup(rows)
 
 
+def test_exact_dedup_compares_contents(spark, sf, odd, monkeypatch):
+    """Texts of one digest are never one group; hot groups are joined by broadcast."""
+    from pyspark.sql import functions as F
+
+    from loam.llm import common
+
+    last = spark.createDataFrame([(2**63 - 1, "a text"), (None, "a text"), (5, "b")], "doc_id long, text string")
+    split = common.attach
+    monkeypatch.setattr(exact_dedup, "attach", lambda *a: split(*a, least=2))
+    for digests in (exact_dedup._digests, lambda norm: [F.length(norm) % 3, F.lit(1)]):
+        monkeypatch.setattr(exact_dedup, "_digests", digests)
+        for df in (documents(spark, sf), odd, last):
+            rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+            assert sorted(map(tuple, exact_dedup.exact_dedup(df).collect()), key=key) == brute_dedup(rows)
+
+
 def test_exact_dedup_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
