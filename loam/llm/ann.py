@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
-Equal vectors are collapsed to one that carries its smallest ids, as many as an answer can need.
+Vectors are scaled by their largest component, which no cosine depends on: what is very large or
+tiny neither overflows nor vanishes, and vectors that differ in length alone become equal. Equal
+ones are collapsed to one that carries its smallest ids, as many as an answer can need.
 The distinct vectors are dealt by hash to shards of about ``SHARD`` vectors. Within a shard a graph
 is grown in lots: a greedy beam search over the graph so far proposes neighbours, relaxed distance
 pruning keeps diverse ones (a candidate goes if an already kept one is nearer to it by the factor
-``ALPHA``), edges are added in reverse and pruned again where a node has too many. Queries come in
-blocks to every shard, where a beam search finds the nearest; scores are then computed in double
-precision on the original vectors, and the shards' answers are merged.
+``ALPHA``), edges are added in reverse and pruned again where a node has too many. A task loads its
+shard once and queries stream through it in bounded lots; a beam search finds the nearest, scores
+are computed in double precision, and the shards' answers are merged. What moves is the queries,
+once to each shard; the index moves to its tasks once.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part,
 nor do null ids; vectors of another length are never compared; rows that repeat an id with the same
-vector count once, a query never finds its own id; with fewer candidates than ``k`` all are
-returned; an empty table gives an empty result; other columns are ignored.
+vector count once; with different vectors each is a query and a candidate, and the id's answers are
+merged by their best scores; a query never finds its own id; of equally near ones that the beam
+reaches the smaller ids are returned; with fewer candidates than ``k`` all are returned; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ BUILD_BEAM = 64
 SEARCH_BEAM = 96
 ALPHA = 1.2
 ENTRIES = 16
-QUERY_BLOCK = 2048
+#: Queries that a shard searches at a time.
+LOT = 256
 
 
 def beam_search(x, graph, entries, queries, beam: int, width: int = 4):
@@ -143,13 +149,16 @@ def build_graph(x, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float =
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id and v, the direction: the vector over its largest component."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda c: c != 0))
+    good = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda c: c != 0))
+    # Zero has two signs, which would hash apart.
+    return good.withColumn("most", F.array_max(F.transform("v", F.abs))).select("vec_id", F.transform("v", lambda c: c / F.col("most") + F.lit(0.0)).alias("v"))
 
 
 def distinct_vectors(rows: DataFrame, keep: int, salts: int = 64) -> DataFrame:
-    """v with its ``keep`` smallest ids; copies are thinned in salted lots first."""
+    """Each direction v with its ``keep`` smallest ids; copies are thinned in salted lots first."""
     h = rows.withColumn("h", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
     lot = W.partitionBy("h", "v", "salt").orderBy("vec_id")
     thin = h.withColumn("r", F.row_number().over(lot)).filter(F.col("r") <= keep).drop("r")
@@ -174,8 +183,7 @@ def build_index(vectors: DataFrame, keep: int, shard_size: int = SHARD, id_col:
         x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
         order = np.argsort([i[0] for i in table.column("ids").to_pylist()], kind="stable")
         x = np.ascontiguousarray(x[order])
-        unit = x / np.abs(x).max(1, keepdims=True)
-        unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+        unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         graph, entries = build_graph(unit)
         return pa.table(
             {
@@ -192,57 +200,77 @@ def build_index(vectors: DataFrame, keep: int, shard_size: int = SHARD, id_col:
     return stash(dealt.groupBy("shard", "width").applyInArrow(build, INDEX), "index")
 
 
+class Shard:
+    """A loaded row of the index."""
+
+    def __init__(self, row: dict):
+        import numpy as np
+
+        self.x = np.frombuffer(row["vectors"]).reshape(-1, row["width"])
+        self.ids, self.entries = row["ids"], np.array(row["entries"])
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(len(self.x) + 1, -1).astype(np.int64)
+        self.norms = np.sqrt((self.x * self.x).sum(1))
+        self.unit = (self.x / self.norms[:, None]).astype(np.float32)
+
+    def nearest(self, ids: list[int], vectors, k: int):
+        """(query, id, cosine) of each query's k nearest that the beam reaches, ties by id."""
+        import numpy as np
+
+        norms = np.sqrt((vectors * vectors).sum(1))
+        found, _ = beam_search(self.unit, self.graph, self.entries, (vectors / norms[:, None]).astype(np.float32), SEARCH_BEAM)
+        for q, own, norm, row in zip(ids, vectors, norms, found):
+            at = row[row >= 0]
+            cos = (self.x[at] * own).sum(1) / (self.norms[at] * norm)
+            best, last = [], None
+            for j in np.argsort(-cos, kind="stable"):
+                if last is not None and cos[j] < last:
+                    break  # all that are as near as the k-th are in
+                best += [(-cos[j], i) for i in self.ids[at[j]] if i != q]
+                if last is None and len(best) >= k:
+                    last = cos[j]
+            for c, i in sorted(best)[:k]:
+                yield q, i, -float(c)
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard_size: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the rows whose id is divisible by ``every``."""
     index = build_index(vectors, k + 1, shard_size, id_col, vector_col)
     queries = usable(vectors, id_col, vector_col).filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    shards = index.count()
     n_shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    # A stated query set, in blocks, against every shard of its width.
+    # A stated query set against every shard of its width: a shard's row first, then the queries.
     sent = queries.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"),
-        F.size("v").alias("width"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"),
-        "vec_id",
-        "v",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.size("v").alias("width"), F.col("vec_id").alias("query_id"), F.col("v").alias("asked")
     )
-    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    streams = index.unionByName(sent, allowMissingColumns=True).withColumn("second", F.col("query_id").isNotNull())
+    parts = max(shards, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    streams = streams.repartition(parts, "shard", "width").sortWithinPartitions("shard", "width", "second")
+    streams = streams.select("shard", "width", "ids", "vectors", "graph", "entries", "query_id", "asked")
 
-    def search(shard, asked):
+    def search(batches):
         import numpy as np
         import pyarrow as pa
 
-        out: tuple[list, list, list] = ([], [], [])
-        if shard.num_rows and asked.num_rows:
-            s = shard.to_pylist()[0]
-            x = np.frombuffer(s["vectors"]).reshape(-1, s["width"])
-            n = len(x)
-            scale = np.abs(x).max(1, keepdims=True)
-            unit = x / scale
-            norm = np.linalg.norm(unit, axis=1, keepdims=True)
-            unit = (unit / norm).astype(np.float32)
-            graph = np.frombuffer(s["graph"], np.int32).reshape(n + 1, -1).astype(np.int64)
-            qv = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, s["width"])
-            qid = asked.column("vec_id").to_pylist()
-            qu = qv / np.abs(qv).max(1, keepdims=True)
-            qu = (qu / np.linalg.norm(qu, axis=1, keepdims=True)).astype(np.float32)
-            lengths = np.sqrt((x * x).sum(1))
-            for a in range(0, len(qid), 256):
-                found, _ = beam_search(unit, graph, np.array(s["entries"]), qu[a : a + 256], SEARCH_BEAM)
-                for q, own, row in zip(qid[a : a + 256], qv[a : a + 256], found):
-                    at = row[row >= 0]
-                    cos = (x[at] * own).sum(1) / (lengths[at] * np.sqrt((own * own).sum()))
-                    best = []
-                    for j in np.argsort(-cos, kind="stable")[: k + 1 + SEARCH_BEAM // 4]:
-                        best += [(-cos[j], i) for i in s["ids"][at[j]] if i != q]
-                    for c, i in sorted(best)[:k]:
-                        out[0].append(q)
-                        out[1].append(i)
-                        out[2].append(-float(c))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    key = ["shard", "width", "block"]
-    hits = shards.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+        key, loaded = None, None
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            is_query = batch.column(6).is_valid().to_pylist()
+            a = 0
+            while a < len(keys):
+                if not is_query[a]:
+                    key, loaded = keys[a], Shard({n: batch.column(c)[a].as_py() for c, n in enumerate(("shard", "width", "ids", "vectors", "graph", "entries"))})
+                    a += 1
+                    continue
+                b = a
+                while b < len(keys) and is_query[b] and keys[b] == keys[a] and b - a < LOT:
+                    b += 1
+                if keys[a] == key:
+                    qv = batch.column(7).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                    out = list(zip(*loaded.nearest(batch.column(6).slice(a, b - a).to_pylist(), np.asarray(qv), k))) or [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                a = b
+
+    hits = streams.mapInArrow(search, "query_id long, vec_id long, score double")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

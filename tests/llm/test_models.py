@@ -338,6 +338,36 @@ def test_recall(spark, kind):
     assert hits >= 0.95 * 5 * len(want)
 
 
+def test_recall_on_the_embeddings(spark, sf):
+    df = spark.read.parquet(f"{sf}/../sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = brute_nearest(rows, 50, 5)
+    got: dict = {}
+    for r in ann.nearest(df, shard_size=100).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert set(got) == {q for q in want if want[q]}
+    assert sum(len(got[q].keys() & {i for i, _ in want[q]}) for q in got) >= 0.9 * sum(len(want[q]) for q in got)
+    assert all(math.isclose(got[q][i], s, rel_tol=1e-12) for q in got for i, s in want[q] if i in got[q])
+
+
+def test_equally_near_ones_come_by_id(spark):
+    """Vectors of one direction, more than a beam holds; and rays mirrored at the query, at one distance."""
+    rows = [(i, [x * 2.0 ** ((i * 7) % 90 - 45) for x in (1.0, 2.0, 3.0)]) for i in range(199, -1, -1)]
+    rows += [(1000 + 10 * i, v) for i, v in enumerate([[0.0, 0.0, -1.0], [1.0, 0.0, -2.0], [-1.0, 0.0, -2.0], [0.0, 1.0, -2.0], [0.0, -1.0, -2.0], [-0.0, -1.0, -2.0], [5.0, 5.0, -2.0]])]
+    got: dict = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=4).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4] and [i for i, _ in got[150]] == [0, 1, 2, 3]
+    assert [i for i, _ in got[1000]] == [1010, 1020, 1030, 1040] and len({s for _, s in got[1000]}) == 1
+
+
+def test_scores_of_very_large_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e-200, 1e-200]), (3, [1e200, 0.0]), (4, [5e-324, 0.0]), (5, [-1e300, 1e300])]
+    got = [tuple(r)[1:] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert [g[:2] for g in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert np.allclose([g[2] for g in got], [1, 1, math.sqrt(0.5), math.sqrt(0.5), 0], atol=1e-15)
+
+
 def test_copies_of_a_vector(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(500)] + [(1000 + i, [float(i), 1.0, 0.0]) for i in range(20)]
     got: dict = {}
