@@ -284,6 +284,127 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(1, 201)}, 901: 900}
 
 
+# --- similar documents
+
+
+M64 = 2**64 - 1
+
+
+def brute_signature(text, words=5, tables=11, bits=40):
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M64
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M64
+        return x ^ x >> 31
+
+    toks = text.encode().lower().split()
+    if not toks:
+        return 0, (0,) * tables
+    h = [xxhash.xxh64_intdigest(b" ".join(toks[k : k + words]), 42) for k in range(max(1, len(toks) - words + 1))]
+    flags = ""
+    for j in range(1, 2 + -(-tables * bits // 64)):
+        mixed = [mix((v + j * 0x9E3779B97F4A7C15) & M64) for v in h]
+        flags += "".join("1" if sum(v >> b & 1 for v in mixed) * 2 > len(h) else "0" for b in range(63, -1, -1))
+    return int(flags[:64], 2), tuple(int(flags[64 + t * bits : 64 + (t + 1) * bits], 2) for t in range(tables))
+
+
+def brute_similar(rows, check_bits=15):
+    found = {i: brute_signature(t or "") for i, t in rows}
+    root = {i: i for i in found}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(found)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            near = any((a ^ b).bit_count() <= 4 for a, b in zip(found[i][1], found[j][1]))
+            if near and (found[i][0] ^ found[j][0]).bit_count() <= check_bits:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def edited(r, words, share):
+    return [r.choice(WORDS) if r.random() < share else w for w in words]
+
+
+WORDS = [f"w{k}" for k in range(5000)]
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def test_similar_documents_equal_brute_force(spark, odd):
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(120)]
+    rows = [(i, " ".join(edited(r, base, r.choice([0, 0.01, 0.03, 0.06])))) for i in range(60)]
+    rows += [(100 + i, " ".join(r.choice(WORDS) for _ in range(r.randint(0, 9)))) for i in range(30)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for df in (made, odd.filter("length(text) < 1000 or text is null")):
+        data = [(x["doc_id"], x["text"]) for x in df.select("doc_id", "text").collect()]
+        want = brute_similar([x for x in data if x[0] is not None])
+        got = simhash.similar_documents(df).collect()
+        assert len(got) == len(data)
+        assert all(x["component_id"] == (None if x["doc_id"] is None else want[x["doc_id"]]) for x in got)
+    assert len(set(want.values())) > 3
+
+
+def test_similar_documents_on_whole_tables(spark, odd, empty):
+    got = simhash.similar_documents(odd).collect()
+    assert len(got) == odd.count() and {x["component_id"] for x in got if x["doc_id"] in (3, 4, 5)} == {3}
+    assert simhash.similar_documents(empty).count() == 0
+
+
+def test_similar_documents_recall(spark):
+    """Pairs at a similarity of 0.8 or more link, unlike texts don't."""
+    r = random.Random(12)
+    rows, alike, apart = [], [], []
+    for n in range(300):
+        a = [r.choice(WORDS) for _ in range(r.choice([80, 200, 600]))]
+        b = edited(r, a, r.choice([0.005, 0.01, 0.02, 0.03, 0.2]))
+        j = jaccard(a, b)
+        (alike if j >= 0.8 else apart if j <= 0.4 else []).append(n)
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    joined = [n for n in range(300) if got[2 * n] == got[2 * n + 1]]
+    assert len(alike) > 100 and len(set(alike) & set(joined)) >= 0.95 * len(alike)
+    assert len(apart) > 40 and not set(apart) & set(joined)
+    assert all(got[i] in (i, i - 1) for i in got)
+
+
+@pytest.mark.parametrize("lot", [1 << 21, 500])
+def test_checked_links_in_a_crowd(lot):
+    """A variant's smallest member may be refuted while others link."""
+    r = random.Random(2)
+    fp = np.array([r.getrandbits(40)] * 40 + [r.getrandbits(40) for _ in range(10)], np.uint64)
+    fp[1:40] ^= np.array([sum(1 << b for b in r.sample(range(40), r.randint(0, 2))) for _ in range(39)], np.uint64)
+    check = np.array([r.choice([0, 0xFFFF, 0xFFFFFFFF]) ^ r.getrandbits(5) for _ in range(50)], np.uint64)
+    rep = np.arange(50)
+    root = list(range(50))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in simhash.shared_variants(fp, rep, np.full(50, 2), 40, 4, lot, check, 15):
+        for x, y in zip(a, b):
+            assert (int(fp[x]) ^ int(fp[y])).bit_count() <= 8
+            root[max(find(x), find(y))] = min(find(x), find(y))
+    want = list(range(50))
+
+    def top(x):
+        return x if want[x] == x else top(want[x])
+
+    for x in range(50):
+        for y in range(x):
+            if (int(fp[x]) ^ int(fp[y])).bit_count() <= 4 and (int(check[x]) ^ int(check[y])).bit_count() <= 15:
+                want[max(top(x), top(y))] = min(top(x), top(y))
+    assert [find(x) for x in range(50)] == [top(x) for x in range(50)]
+
+
 # --- line dedup
 
 
