@@ -4,6 +4,8 @@ and word splitting that agrees with the tokenizers library."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import functools
 import re
 import shutil
@@ -45,16 +47,51 @@ def _own_folder() -> str:
 _STASHED: dict[str, SparkSession] = {}
 
 
+class Tables(list):
+    """Paths of the tables that were stashed within a ``scope``."""
+
+    def release(self, *keep: DataFrame) -> None:
+        """Delete those that are still there, but for ``keep``."""
+        kept = {df.stash_path for df in keep}
+        for path in self:
+            if path in _STASHED and path not in kept:
+                _delete(_STASHED[path], path)
+
+
+_SCOPE: contextvars.ContextVar[Tables | None] = contextvars.ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scope():
+    """Collects the tables stashed within, so that one run can delete its own and no others."""
+    own = Tables()
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(token)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """What is left when the process ends: no result can read it any more."""
+    with contextlib.suppress(Exception):
+        for path, spark in list(_STASHED.items()):
+            _delete(spark, path)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage ends there,
     and a lost executor loses none of it. ``df.stash_path`` of the result names the folder.
-    Tables that a result still reads stay until ``release``."""
+    Tables that a result still reads stay until their ``scope`` or ``release`` deletes them, or the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     _STASHED[path] = spark
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
     return out
 
 
@@ -71,7 +108,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(*keep: DataFrame) -> None:
-    """Delete all stashed tables but those of ``keep``: once the results that read them are written."""
+    """Delete all of the process's stashed tables but those of ``keep``: once every result that reads one is written."""
     kept = {df.stash_path for df in keep}
     for path, spark in list(_STASHED.items()):
         if path not in kept:

@@ -6,7 +6,8 @@ difference of document frequencies in the training sample (``MIN_Z`` standard de
 and the identity terms enter a logistic
 model. Its loss has a second term: each sample sentence that names a group is written again with
 the group's term swapped for every other, neutral sentences about each group are added, and the
-squared difference of the two scores' logits is penalised. So a mention alone moves no score.
+mean squared difference of the two scores' logits, over all these pairs, is penalised. So a mention
+alone moves no score. The pairs enter as the sum of their outer products, made where the texts are.
 
 Training takes at most ``SAMPLE`` documents of each label, those of the smallest hashed ids; every
 document is scored by its whole text. Labels, language, source and id are never features.
@@ -63,6 +64,29 @@ def swapped(words: set[str]) -> list[tuple[set[str], set[str]]]:
     return [(words, words - {t} | {u}) for t in sorted(words & _GROUP.keys()) for u in _GROUP[t] if u != t]
 
 
+def gap_counts(texts, at: dict[str, int]) -> tuple[dict[tuple[int, int], int], int]:
+    """The sum, over every counterfactual pair of every sentence, of the outer product of the pair's
+    difference in features with itself, by its entries; and the number of pairs."""
+    out: dict[tuple[int, int], int] = {}
+    n = 0
+
+    def vector(words: set[str]) -> set[int]:
+        return {at[f] for w in words for f in word_features(w) if f in at}
+
+    for text in texts:
+        if not _GROUP.keys() & text_words(text):
+            continue
+        for sentence in re.split(r"[.!?\n]+", text):
+            for a, b in swapped(text_words(sentence)):
+                n += 1
+                va, vb = vector(a), vector(b)
+                row = [(f, 1) for f in va - vb] + [(f, -1) for f in vb - va]
+                for i, p in row:
+                    for j, q in row:
+                        out[i, j] = out.get((i, j), 0) + p * q
+    return out, n
+
+
 class Scorer:
     """weights by feature, and the intercept."""
 
@@ -81,13 +105,12 @@ class Scorer:
         return self.intercept + sum(sorted(found.values()))
 
 
-def _fit(x, y, pairs, ridge: float, counterfactual: float):
-    """Newton's method on the logistic loss, the ridge and the mean squared logit gap of the pairs."""
+def _fit(x, y, gap, ridge: float):
+    """Newton's method on the logistic loss, the ridge and the quadratic form ``gap`` of the weights."""
     import numpy as np
 
     n, d = x.shape
     w, b = np.zeros(d), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    gap = pairs.T @ pairs * (counterfactual / max(1, len(pairs))) if len(pairs) else np.zeros((d, d))
     still = gap + ridge * np.eye(d)
     for _ in range(12):
         p = 1 / (1 + np.exp(-(x @ w + b)))
@@ -148,36 +171,40 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held_rest: int
         import pyarrow as pa
 
         for batch in batches:
-            v, pairs = [], []
-            for t in batch.column(0).to_pylist():
-                words = text_words(t)
-                v.append(sorted(vector(words)))
-                for sentence in re.split(r"[.!?\n]+", t) if words & _GROUP.keys() else ():
-                    pairs += [[sorted(vector(a)), sorted(vector(b))] for a, b in swapped(text_words(sentence))][:20]
+            v = [sorted(vector(text_words(t))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(v, pa.list_(pa.int32()))], names=["toxic", "v"])
-            if pairs:
-                flat = [[*a, -1, *b] for a, b in pairs]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(flat), pa.int32()), pa.array(flat, pa.list_(pa.int32()))], names=["toxic", "v"])
 
-    got = rows.mapInArrow(to_vectors, "toxic int, v array<int>").toPandas()
+    def to_gaps(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            entries, n = gap_counts(batch.column(0).to_pylist(), at)
+            cells = [(-1, -1, n), *[(i, j, v) for (i, j), v in entries.items()]]
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["i", "j", "v"])
+
+    got = rows.mapInArrow(to_vectors, "toxic int, v array<int>").toPandas()  # at most 2 * sample rows
+    # Features of group terms alone differ in a pair: a few thousand entries, whatever the texts.
+    gaps = rows.mapInArrow(to_gaps, "i int, j int, v long").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     discard(chosen, rows)
-    docs_ = sorted((int(t), tuple(v)) for t, v in zip(got["toxic"], got["v"]) if t == t and t is not None)
-    gaps = [tuple(v) for t, v in zip(got["toxic"], got["v"]) if t != t or t is None]
-    neutral = [text_words(s.format(t)) for s in NEUTRAL for t in _GROUP]
+    docs_ = sorted((int(t), tuple(v)) for t, v in zip(got["toxic"], got["v"]))
+    neutral = [s.format(t) for s in NEUTRAL for t in _GROUP]
     x = np.zeros((len(docs_) + len(neutral), len(names)), np.float64)
     y = np.zeros(len(x))
     for i, (t, v) in enumerate(docs_):
         x[i, list(v)] = 1
         y[i] = t == 1
-    for i, words in enumerate(neutral):
-        x[len(docs_) + i, list(vector(words))] = 1
-    pairs = []
-    for a, b in [*[(vector(a), vector(b)) for words in neutral for a, b in swapped(words)], *[(v[: v.index(-1)], v[v.index(-1) + 1 :]) for v in sorted(gaps)]]:
-        row = np.zeros(len(names))
-        row[list(a)] += 1
-        row[list(b)] -= 1
-        pairs.append(row)
-    w, b = _fit(x, y, np.array(pairs), ridge, counterfactual)
+    for i, text in enumerate(neutral):
+        x[len(docs_) + i, list(vector(text_words(text)))] = 1
+    own, pairs = gap_counts(neutral, at)
+    gap = np.zeros((len(names), len(names)))
+    for (i, j), v in own.items():
+        gap[i, j] += v
+    for r in gaps:
+        if r["i"] < 0:
+            pairs += r["v"]
+        else:
+            gap[r["i"], r["j"]] += r["v"]
+    w, b = _fit(x, y, gap * (counterfactual / max(1, pairs)), ridge)
     return Scorer({f: float(v) for f, v in zip(names, w)}, float(b))
 
 

@@ -38,6 +38,20 @@ def test_fresh_names(spark):
     assert common.fresh(spark.range(1).selectExpr("id AS Score", "id AS _score"), "score") == "__score"
 
 
+def test_scopes_delete_their_own_tables_only(spark):
+    before = common.stash(spark.range(3), "before")
+    with common.scope() as own:
+        a = common.stash(spark.range(5), "a")
+        with common.scope() as inner:
+            b = common.stash(spark.range(6), "b")
+        c = common.stash(spark.range(7), "c")
+    own.release(c)
+    assert (before.count(), b.count(), c.count()) == (3, 6, 7) and not os.path.exists(a.stash_path.removeprefix("file://"))
+    inner.release()
+    common.discard(before, c)
+    assert not {x.stash_path for x in (a, b, c, before)} & common._STASHED.keys()
+
+
 def test_attach_whatever_share_a_key_has(spark):
     rows = common.stash(spark.range(400).selectExpr("if(id < 300, 7, id) AS k", "id"), "rows")
     table = common.stash(rows.filter("id % 3 = 0").groupBy("k").count(), "table")

@@ -193,6 +193,36 @@ def test_toxicity_generalises_and_mentions_are_neutral(spark):
     assert fair.logit("the muslims spoke", fair.table()) < 0 < fair.logit("vileword nastyones", fair.table())
 
 
+def test_toxicity_minimises_its_loss(spark):
+    """The loss's gradient, from every pair of every sentence by itself, vanishes at the fitted weights."""
+    import re
+
+    rows = made_texts(200)
+    crowd = " ".join(t for row in toxicity.IDENTITY for t in row) + ". many women and deaf men"
+    rows = [(i, f"{t}. {crowd}" if i % 3 else t, y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    ridge, weight = 1e-3, 2.0
+    s = toxicity.train(df, df.select("doc_id", "toxic"), ridge=ridge, counterfactual=weight)
+    names = sorted(s.weights)
+    features = lambda words: np.array([float(any(n in toxicity.word_features(w) for w in words)) for n in names])
+    used = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    neutral = [n.format(t) for n in toxicity.NEUTRAL for row in toxicity.IDENTITY for t in row]
+    x = np.array([features(toxicity.text_words(t)) for t in [*[t for t, _ in used], *neutral]])
+    y = np.array([*[y for _, y in used], *[0] * len(neutral)])
+    memo, pairs = {}, []
+    for text in [*[t for t, _ in used], *neutral]:
+        for sentence in re.split(r"[.!?\n]+", text):
+            words = frozenset(toxicity.text_words(sentence))
+            if words not in memo:
+                memo[words] = [features(words) - features(words - {t} | {u}) for row in toxicity.IDENTITY for t in row if t in words for u in row if u != t]
+            pairs += memo[words]
+    assert max(map(len, memo.values())) > 90
+    p, w = np.array(pairs), np.array([s.weights[n] for n in names])
+    miss = 1 / (1 + np.exp(-(x @ w + s.intercept))) - y
+    grad = x.T @ miss / len(x) + ridge * w + weight * p.T @ (p @ w) / len(p)
+    assert np.abs(grad).max() < 1e-5 and abs(miss.mean()) < 1e-5
+
+
 def test_toxicity_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (6, None), (77, 1)], "doc_id long, toxic int")
     got = toxicity.score_toxicity(odd, labels)
