@@ -4,9 +4,10 @@ The base spans are those of fixed patterns (email, ip, card, phone), found in li
 bidirectional LSTM over character classes with a CRF on top, trained in numpy from labelled spans,
 adds what the patterns miss: phone numbers without a country code, cards and addresses with other
 separators. Every kind holds a digit or an "@", so windows are laid over the
-surroundings of those characters and nowhere else; overlapping windows are decoded each, and a
-character takes the tag of the window in which it stands furthest from an edge. An added span is
-kept if it can be of its kind (a card must pass its check digit), stands apart from other letters
+surroundings of those characters and nowhere else. Of overlapping windows, a character takes the
+scores of the one in which it stands furthest from an edge; each stretch that windows cover without
+a gap is then decoded as a whole, so spans that reach across windows come out in one piece. A stretch
+takes some 50 bytes a character while it is decoded. An added span is kept if it can be of its kind (a card must pass its check digit), stands apart from other letters
 and digits and overlaps no base span.
 
 The labelled spans are made by templates from a seeded generator (``EXAMPLES`` of them), so
@@ -22,6 +23,7 @@ import functools
 import hashlib
 import re
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -207,22 +209,25 @@ class Tagger:
         b, _ = self._run(x, "b", False)
         return np.concatenate([f, b], 2) @ self.p["w"] + self.p["b"]
 
-    def decode(self, x):
-        """Best tags (N, T) of windows of classes (N, T)."""
+    def decode(self, e, lens):
+        """Best tags (N, T) of scores e (T, N, tags) of stretches with ``lens`` characters, longest first."""
         import numpy as np
 
-        e = self.emissions(x)
         steps, n, _ = e.shape
-        score, back = e[0] + _START, np.zeros((steps, n, _TAGS), np.int8)
+        live = np.searchsorted(-np.asarray(lens), -np.arange(steps), side="left")  # stretches longer than t
+        score, back = e[0].copy(), np.zeros((steps, n, _TAGS), np.int8)
         move = self.p["t"] + _FORBIDDEN()
         for t in range(1, steps):
-            s = score[:, :, None] + move[None]
-            back[t] = s.argmax(1)
-            score = s.max(1) + e[t]
-        tags = np.zeros((n, steps), np.int8)
-        tags[:, -1] = score.argmax(1)
-        for t in range(steps - 1, 0, -1):
-            tags[:, t - 1] = back[t][np.arange(n), tags[:, t]]
+            k = live[t]
+            s = score[:k, :, None] + move[None]
+            back[t, :k] = s.argmax(1)
+            score[:k] = s.max(1) + e[t, :k]
+        tags, now = np.zeros((n, steps), np.int8), score.argmax(1)
+        for t in range(steps - 1, -1, -1):
+            k = live[t]
+            tags[:k, t] = now[:k]
+            if t:
+                now[:k] = back[t, np.arange(k), now[:k]]
         return tags
 
     def gradient(self, x, y):
@@ -284,7 +289,6 @@ def _FORBIDDEN():
     return m
 
 
-_START = 0.0
 PAD = len(_CLASSES)
 
 
@@ -335,43 +339,65 @@ def trained(examples: int = EXAMPLES, epochs: int = 6, batch: int = 64, rate: fl
     return tagger
 
 
-def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], tagger: Tagger, lot: int = 2048) -> list[list[tuple[str, int, int]]]:
-    """The model's spans of each text that overlap no base span."""
+def stretches(x) -> list[tuple[int, int]]:
+    """(first window's start, windows) of the stretches of a text's classes that hold digits and "@"."""
+    import numpy as np
+
+    hot = np.flatnonzero((x == _CLASSES.index("9")) | (x == _CLASSES.index("@")))
+    near = np.unique(np.concatenate([(hot + d) // STRIDE for d in (-REACH, 0, REACH)]))
+    near = near[(near >= 0) & (near * STRIDE < len(x))]
+    starts = np.unique(np.concatenate([np.maximum(near - 1, 0), near])) * STRIDE
+    if not len(starts):
+        return []
+    cuts = np.flatnonzero(np.diff(starts) > STRIDE) + 1
+    return [(int(s[0]), len(s)) for s in np.split(starts, cuts)]
+
+
+def _scores(tagger: Tagger, classes: list, parts: list[tuple[int, int, int]]):
+    """Scores (T, N, tags) of stretches (text, start, windows), and their lengths: from each window the
+    characters that stand further from its edges than in the windows beside it."""
     import numpy as np
 
-    jobs, zones = [], []  # (text, window start); per text its classes
-    for i, text in enumerate(texts):
-        x = None
-        if "@" in text or re.search("[0-9]", text):
-            x = char_classes(text)
-            hot = np.flatnonzero((x == _CLASSES.index("9")) | (x == _CLASSES.index("@")))
-            starts = set()
-            near = np.unique(np.concatenate([(hot + d) // STRIDE for d in (-REACH, 0, REACH)]))
-            for k in near[(near >= 0) & (near * STRIDE < len(x))]:
-                starts |= {max(0, int(k) - 1) * STRIDE, int(k) * STRIDE}
-            jobs += [(i, a) for a in sorted(starts)]
-        zones.append(x)
-    best = [None if x is None else (np.zeros(len(x), np.int8), np.full(len(x), -1, np.int16)) for x in zones]
-    edge = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for a in range(0, len(jobs), lot):
-        part = jobs[a : a + lot]
-        w = np.full((len(part), WINDOW), PAD, np.int64)
-        for r, (i, s) in enumerate(part):
-            piece = zones[i][s : s + WINDOW]
+    w = np.full((sum(k for _, _, k in parts), WINDOW), PAD, np.int64)
+    r = 0
+    for i, a, k in parts:
+        for j in range(k):
+            piece = classes[i][a + j * STRIDE : a + j * STRIDE + WINDOW]
             w[r, : len(piece)] = piece
-        for tags, (i, s) in zip(tagger.decode(w), part):
-            tag, inner = best[i]
-            n = min(WINDOW, len(tag) - s)
-            better = edge[:n] > inner[s : s + n]
-            tag[s : s + n][better] = tags[:n][better]
-            inner[s : s + n][better] = edge[:n][better]
+            r += 1
+    e = np.concatenate([tagger.emissions(w[c : c + 2048]) for c in range(0, len(w), 2048)], 1)
+    lens = [min(len(classes[i]) - a, (k - 1) * STRIDE + WINDOW) for i, a, k in parts]
+    out, r, edge = np.zeros((max(lens), len(parts), _TAGS), e.dtype), 0, STRIDE // 2
+    for n, (_, _, k) in enumerate(parts):
+        for j in range(k):
+            lo, hi = (edge if j else 0), (WINDOW if j == k - 1 else WINDOW - edge)
+            to = out[j * STRIDE + lo : min(j * STRIDE + hi, lens[n]), n]
+            to[:] = e[lo : lo + len(to), r]
+            r += 1
+    return out, lens
+
+
+def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], tagger: Tagger, lot: int = 2048) -> list[list[tuple[str, int, int]]]:
+    """The model's spans of each text that overlap no base span; ``lot``: windows scored together."""
+    import numpy as np
+
+    classes = [char_classes(t) if "@" in t or re.search("[0-9]", t) else None for t in texts]
+    jobs = [(i, a, k) for i, x in enumerate(classes) if x is not None for a, k in stretches(x)]
+    jobs.sort(key=lambda j: -j[2])
+    best: list[dict[int, np.ndarray]] = [{} for _ in texts]  # tags by a stretch's start
+    while jobs:
+        n = max(1, lot // jobs[0][2])  # of like length, so that padding stays small
+        part, jobs = jobs[:n], jobs[n:]
+        part.sort(key=lambda j: -min(len(classes[j[0]]) - j[1], (j[2] - 1) * STRIDE + WINDOW))
+        e, lens = _scores(tagger, classes, part)
+        for (i, a, _), tags, m in zip(part, tagger.decode(e, lens), lens):
+            best[i][a] = tags[:m]
     out = []
     for text, base, b in zip(texts, bases, best):
         own: list[tuple[str, int, int]] = []
-        if b is not None:
-            taken = sorted((s, e) for _, s, e in base)
-            begins = [s for s, _ in taken]
-            tag = b[0]
+        taken = sorted((s, e) for _, s, e in base)
+        begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+        for first, tag in sorted(b.items()):
             at = np.flatnonzero(tag)
             k = 0
             while k < len(at):
@@ -380,8 +406,9 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], tagge
                 k, e = k + 1, e + 1
                 while k < len(at) and at[k] == e and tag[e] == 2 * kind + 2:
                     k, e = k + 1, e + 1
+                s, e = s + first, e + first
                 j = bisect_right(begins, e - 1)
-                free = j == 0 or max(x[1] for x in taken[max(0, j - 8) : j]) <= s
+                free = j == 0 or reach[j - 1] <= s
                 apart = not (s and text[s - 1].isalnum()) and not text[e : e + 1].isalnum()
                 if free and apart and _plausible(KINDS[kind], text[s:e]):
                     own.append((KINDS[kind], s, e))
