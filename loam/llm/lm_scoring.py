@@ -1,8 +1,9 @@
 """Language-model scoring by a hidden Markov model, learnt from all training documents.
 
 A task turns its documents into blocks: a block's distinct words and, for each document, the
-positions of its words in that list. Only distinct words of blocks are shuffled: they meet by word
-for the corpus counts and go back to their blocks. The model emits word classes (words of at most
+positions of its words in that list. Only distinct words of blocks are shuffled: their counts are
+summed by word, partial sums first, and joined back to the blocks; words of over a ten-thousandth of
+these rows are joined by broadcast (at most ten thousand of them). The model emits word classes (words of at most
 four bytes by themselves, longer ones by their last three bytes, hashed to ``CLASSES``; the end has
 its own) and, within a class, words by their smoothed counts, with one place for unknown words in
 each. Baum-Welch counts are summed across partitions: each pass, ``START_PASSES`` and ``PASSES`` of
@@ -18,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .common import ids_and_text, remainder, stash
+from .common import attach, ids_and_text, remainder, stash
 
 CLASSES = 4096
 STATES = 6
@@ -201,16 +201,12 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_rest: int = 2, state
     spark = docs.sparkSession
     both = stash(blocks(docs, modulus, held_rest, id_col, text_col), "blocks")
     own = both.filter("ix is null")
-    by_word = W.partitionBy("word").orderBy("block", "ix")
-    everywhere = by_word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    counted = (
-        both.filter("ix is not null")
-        .select("block", "ix", "word", "cls", "n")
-        .select("block", "ix", "cls", F.sum("n").over(everywhere).alias("c"), (F.row_number().over(by_word) == 1).alias("first"))
-    )
-    counted = stash(counted, "counts")
+    # Read apart, as both meet again at the end.
+    words = spark.read.schema(both.schema).parquet(both.stash_path).filter("ix is not null").select("block", "ix", "word", "cls", "n")
+    counts = stash(words.groupBy("word").agg(F.first("cls").alias("cls"), F.sum("n").alias("c"), F.count("*").alias("held_by")), "counts")
     # At most as many rows as there are classes.
-    stats = counted.filter("first").groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).collect()
+    stats = counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).collect()
+    counted = attach(words.select("block", "ix", "word"), counts.select("word", "c", "held_by"), ["word"], "held_by", words.count())
     n_cls, v_cls = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in stats:
         n_cls[r["cls"]], v_cls[r["cls"]] = r["c"], r["v"]
