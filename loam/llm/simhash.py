@@ -188,9 +188,29 @@ def shared_variants(fp, rep, left, bits: int, radius: int, lot: int, check=None,
     yield rep[pairs[near, 0]], rep[pairs[near, 1]]
 
 
+def local_roots(a, b):
+    """(member, smallest member of its component) of links within a task, roots themselves left out."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, low = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        least = np.minimum(low[u], low[v])
+        for ends in (u, v, low[u], low[v]):
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    moved = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[moved], nodes[low[moved]]
+
+
 def variant_links(dealt: DataFrame, bits: int, radius: int, lot: int = LOT, width: int = 64, most: int | None = None) -> DataFrame:
-    """Links (a, b) of the buckets' fingerprints of ``width`` bits; with ``most``, of those whose
-    column check differs in at most so many bits. The bucket's number ends with its prefix of ``bits`` bits."""
+    """For each bucket's fingerprints of ``width`` bits, (a, b): a fingerprint and the smallest that it
+    reaches by links within the bucket; with ``most``, links are those whose column check differs in at
+    most so many bits. The bucket's number ends with its prefix of ``bits`` bits."""
     names = ["bucket", "fp", "rep", *(["check"] if most is not None else [])]
 
     def run(batches):
@@ -204,9 +224,8 @@ def variant_links(dealt: DataFrame, bits: int, radius: int, lot: int = LOT, widt
             more = (check[0].view(np.uint64), most) if check else ()
             found = list(shared_variants(fp, rep, radius // 2 - off, width - bits, radius, lot, *more))
             if found:
-                a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
-                both = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                a, b = local_roots(*(np.concatenate([f[k] for f in found]) for k in range(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         kept: list = []
         for batch in batches:

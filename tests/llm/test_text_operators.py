@@ -259,16 +259,33 @@ def test_links_of_fingerprints(spark, bits, lot):
     signed = [(p - 2**64 if p >> 63 else p, i) for i, p in prints.items()]
     nodes = spark.createDataFrame(signed, "fp long, rep long").groupBy("fp").agg({"rep": "min"}).withColumnRenamed("min(rep)", "rep")
     links = simhash.variant_links(simhash.dealt_variants(nodes, bits, 4), bits, 4, lot).cache()
-    assert all((prints[r["a"]] ^ prints[r["b"]]).bit_count() <= 4 for r in links.collect())
+    comp = brute_components(prints)  # a bucket's links lead to the smallest member within reach
+    assert all(r["a"] > r["b"] and comp[r["a"]] == comp[r["b"]] for r in links.collect())
     roots = {x["node"]: x["root"] for x in simhash.components(links).collect()}
     first = {}
     for i, p in sorted(prints.items()):
         first.setdefault(p, i)
-    comp = brute_components(prints)
     for i, p in prints.items():
         assert roots.get(first[p], first[p]) == comp[i]
 
 
+def test_local_roots():
+    r = random.Random(8)
+    for n, m in ((2, 1), (50, 30), (300, 260), (400, 900)):
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for x, y in links:
+            root[max(find(x), find(y))] = min(find(x), find(y))
+        got = dict(zip(*(x.tolist() for x in simhash.local_roots(*(np.array(x) for x in zip(*links))))))
+        assert got == {x: find(x) for pair in links for x in pair if find(x) != x}
+    path = np.arange(1000)
+    assert set(simhash.local_roots(path[1:], path[:-1])[1].tolist()) == {0}
+
+
 def test_balls_and_prefixes(spark):
     assert len(simhash.ball(64, 2)) == 2081 and len(set(simhash.ball(64, 2))) == 2081
     nodes = spark.range(3000).selectExpr("id AS fp", "id AS rep")  # all begin alike
