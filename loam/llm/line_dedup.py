@@ -84,10 +84,11 @@ def _branches(docs: DataFrame, light: DataFrame, lines: DataFrame, min_docs: int
 
 
 def _recurring(at: DataFrame, key: list[str], min_docs: int, *more: Column) -> DataFrame:
-    """Keys with ``min_docs`` distinct documents or more, their rows in ``n``, and ``more`` aggregates."""
-    listed = at.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or(F.col("docs").isNull()).alias("many"), *more)
-    few = at.filter("docs is not null").select(*key, F.explode("docs").alias("doc")).groupBy(*key).agg(F.count_distinct("doc").alias("rare"))
-    return listed.join(few, key, "left").filter(F.col("many") | (F.col("rare") >= min_docs)).drop("many", "rare")
+    """Keys with ``min_docs`` distinct documents or more, ``more`` aggregates, and in ``n`` how many rows and
+    documents of rare lines the key has (fewer than ``min_docs`` a row)."""
+    each = at.withColumn("many", F.col("docs").isNull()).withColumn("doc", F.explode_outer("docs"))
+    counted = each.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or("many").alias("many"), F.count_distinct("doc").alias("rare"), *more)
+    return counted.filter(F.col("many") | (F.col("rare") >= min_docs)).drop("many", "rare")
 
 
 def _templates(own: DataFrame, min_docs: int, depth: int, min_constant: float) -> DataFrame:
@@ -95,15 +96,15 @@ def _templates(own: DataFrame, min_docs: int, depth: int, min_constant: float) -
     beside = lambda d: F.coalesce(F.try_element_at("tokens", F.col("pos") + d), F.lit(""))
     at = own.select(*_LINE, *_LEAF, "docs", "tokens", F.posexplode("tokens").alias("pos", "token")).filter(F.col("pos") >= depth)
     at = at.select(
-        *_LINE, "docs", "pos", "token",
+        *_LINE, "docs", "pos", (F.col("token") == WILD).alias("wild"),
         *_two(["slot1", "slot2"], *_LEAF, "pos", "token"), *_two(["field1", "field2"], *_LEAF, "pos", beside(0), beside(2)), F.xxhash64("token").alias("spelled"),
     )
     at = stash(at, "positions")
-    rows = at.count()
-    slots = stash(_recurring(at.filter(F.col("token") != WILD), ["slot1", "slot2"], min_docs), "slots")
+    rows = at.count() * max(1, min_docs - 1)
+    slots = stash(_recurring(at.filter("not wild"), ["slot1", "slot2"], min_docs), "slots")
     varied = [F.min("spelled").alias("low"), F.max("spelled").alias("high")]
     fields = stash(_recurring(at, ["field1", "field2"], min_docs, *varied).filter("low <> high").drop("low", "high"), "fields")
-    settled = stash(attach(at.filter(F.col("token") != WILD), slots, ["slot1", "slot2"], "n", rows), "settled")
+    settled = stash(attach(at.filter("not wild").select(*_LINE, "pos", "slot1", "slot2", "field1", "field2"), slots, ["slot1", "slot2"], "n", rows), "settled")
     changing = attach(settled.drop("n"), fields, ["field1", "field2"], "n", rows).select(*_LINE, "pos", F.lit(1).alias("changes"))
     constant = settled.select(*_LINE, "pos").join(changing, [*_LINE, "pos"], "left_anti").groupBy(*_LINE).agg(F.collect_set("pos").alias("constant"))
     fixed = lambda t, i: (t != WILD) & ((i < depth) | F.coalesce(F.array_contains("constant", i), F.lit(False)))
@@ -122,7 +123,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     own = _branches(plain, light, lines, min_docs, depth)
     general = _templates(own, min_docs, depth, min_constant)
     held = _recurring(general, ["template"], min_docs, F.min("first").alias("keeper"))
-    varied = stash(attach(general, stash(held, "templates"), ["template"], "n", general.count()).select(*_LINE, "keeper"), "varied")
+    varied = stash(attach(general, stash(held, "templates"), ["template"], "n", general.count() * max(1, min_docs - 1)).select(*_LINE, "keeper"), "varied")
     exact = lines.filter(F.col("n_docs") >= min_docs).select(*_LINE, F.col("first").alias("keeper")).join(varied.select(*_LINE), _LINE, "left_anti")
     drop = stash(exact.union(varied).join(lines.select(*_LINE, "n_docs"), _LINE), "drop")
     own_id, own_gone = fresh(docs, "__id"), fresh(docs, "__gone")
