@@ -37,6 +37,21 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def _float_text(d: Column) -> Column:
+    """The shortest digits that read back as the double: plain from 1e-4 up to 1e15, else with an exponent
+    of a sign and two digits or more."""
+    long, short = d.cast("string"), F.format_string("%.15e", d)
+    # The JVM's text has at times a digit too many; sixteen digits are tried wherever it has more.
+    digits = F.length(F.regexp_replace(F.regexp_replace(long, "E.*", ""), "[^0-9]", ""))
+    best = F.when((digits > 16) & (short.cast("double") == d), short).otherwise(long)
+    plain = _trimmed(best.cast("decimal(38,22)").cast("string"))
+    power = F.regexp_extract(best, "[eE]([+-]?[0-9]+)$", 1).cast("int")
+    mantissa = F.regexp_replace(F.regexp_replace(best, "[eE].*$", ""), r"\.?0*$", "")
+    wide = F.concat(mantissa, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
+    zero = F.when(long.startswith("-"), F.lit("-0")).otherwise(F.lit("0"))
+    return F.when(d == 0, zero).when((F.abs(d) >= 1e-4) & (F.abs(d) < 1e15), plain).otherwise(wide)
+
+
 def literal(c: Column, kind: T.DataType, cast: str | None = None) -> Column:
     """A value as PostgreSQL text by its Spark type; null as NULL."""
     if isinstance(kind, T.BooleanType):
@@ -46,10 +61,7 @@ def literal(c: Column, kind: T.DataType, cast: str | None = None) -> Column:
     elif isinstance(kind, T.DecimalType):
         out = _trimmed(c.cast("string")) if kind.scale else c.cast("string")
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        d = c.cast("double")
-        size = F.abs(d)
-        plain = (size >= 1e-4) & (size < 1e15) | (d == 0)
-        text = F.when(plain, _trimmed(d.cast("decimal(38,18)").cast("string"))).otherwise(F.lower(d.cast("string")))
+        d, text = c.cast("double"), _float_text(c.cast("double"))
         out = F.when(F.isnan(d), F.lit("'NaN'::float8")).when(d == float("inf"), F.lit("'Infinity'::float8")).when(d == float("-inf"), F.lit("'-Infinity'::float8")).otherwise(text)
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         zone = "+00" if isinstance(kind, T.TimestampType) else ""

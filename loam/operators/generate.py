@@ -60,6 +60,8 @@ class Generator:
         self.sets: dict[str, list[UniqueSet]] = {k: unique_sets(t, self.registry) for k, t in cfg.tables.items()}
         self.rules = {k: [spark_check(c["expression"]) for c in t.checks if not pushed_down(c)] if verify_checks else [] for k, t in cfg.tables.items()}
         self.done: dict[str, DataFrame] = {}
+        self.lost: dict[str, Dropped] = {}
+        self._making: set[str] = set()
         self._numbered: dict[str, tuple[DataFrame, int]] = {}
 
     # --- cells ------------------------------------------------------------------------------
@@ -93,20 +95,22 @@ class Generator:
             return None
         return parent, target, f"({h} % {n})"
 
-    def cell(self, key: str, column: str, row: str = "row", attempt: str = "0", depth: int = 0) -> str | None:
-        """SQL of a cell; None if it takes a join."""
+    def cell(self, key: str, column: str, row: str = "row", attempt: str = "0", seen: tuple = ()) -> str | None:
+        """SQL of a cell; None if it takes a join. ``seen``: the references followed so far, so that a
+        chain of them is followed to its end, and a circle is not."""
         spec = self.cfg.tables[key].columns[column]
         pair = next((p for p in self.cfg.tables[key].polymorphs if column in (p["type_column"], p["id_column"]) and p.get("candidates")), None)
         if pair:
-            return self.polymorph(key, pair, column == pair["type_column"], row, attempt)
+            joined = any(not self.direct(c) for c in pair["candidates"])
+            return None if joined else self.polymorph(key, pair, row, attempt)[column != pair["type_column"]]
         if spec.factory == "fkref" and spec.value is None and not spec.values:
             picked = self.pick(key, column, spec, row, attempt)
             if picked is None:
                 return "CAST(NULL AS STRING)"
             parent, target, at = picked
-            if (parent == key or self.pure(parent)) and depth < 16 and target in self.cfg.tables[parent].columns:
+            if (parent == key or self.pure(parent)) and (parent, target) not in seen and target in self.cfg.tables[parent].columns:
                 # A row that retries keeps its key only if the key doesn't follow the attempt.
-                return self.cell(parent, target, at, "0", depth + 1)
+                return self.cell(parent, target, at, "0", (*seen, (parent, target)))
             return None
         sql = self.value(key, column, spec, row, attempt)
         share = Params(spec.params).float_("null_fraction", 0.0)
@@ -144,23 +148,62 @@ class Generator:
             parts.append(f"{Dialect().s(name)}, {sql}")
         return f"named_struct({', '.join(parts)})"
 
-    def polymorph(self, key: str, pair: dict, is_type: bool, row: str, attempt: str) -> str:
-        """One candidate for both columns; both null where it has no rows."""
+    def polymorph(self, key: str, pair: dict, row: str, attempt: str, found: dict[int, tuple[int, str]] | None = None) -> tuple[str, str]:
+        """SQL of a polymorphic pair's type and id: one candidate for both, both null where it has no rows.
+        ``found``: rows and key column of the candidates whose keys are joined."""
         d = self.dialect(key, pair["id_column"], row, attempt)
-        out, n = "CAST(NULL AS STRING)", len(pair["candidates"])
+        null, n = "CAST(NULL AS STRING)", len(pair["candidates"])
+        kind, name = null, null
         for i, cand in reversed(list(enumerate(pair["candidates"]))):
-            parent = qualified(cand["table"])
-            t = self.cfg.tables.get(parent)
-            target = cand.get("pk_column") or (t.primary_key[0] if t and t.primary_key else None)
-            if not t or not target or self.rows_of(parent) <= 0:
-                hit = "CAST(NULL AS STRING)"
-            elif is_type:
-                hit = d.s(cand.get("type_name") or class_name(t.name))
-            else:
-                key_sql = self.cell(parent, target, f"({d.h(1)} % {self.rows_of(parent)})", "0", 1)
-                hit = f"CAST({key_sql} AS STRING)" if key_sql else "CAST(NULL AS STRING)"
-            out = f"CASE WHEN {d.h(0)} % {n} = {i} THEN {hit} ELSE {out} END"
-        return out
+            parent, target = self.candidate(cand)
+            rows, at = (found or {}).get(i, (self.rows_of(parent), ""))
+            hit, key_sql = null, None
+            if target and rows > 0:
+                key_sql = at or self.cell(parent, target, f"({d.h(1)} % {rows})", "0", ((key, pair["id_column"]),))
+                hit = d.s(cand.get("type_name") or class_name(parent.split(".", 1)[1]))
+            kind = f"CASE WHEN {d.h(0)} % {n} = {i} THEN {hit} ELSE {kind} END"
+            name = f"CASE WHEN {d.h(0)} % {n} = {i} THEN {f'CAST({key_sql} AS STRING)' if key_sql else null} ELSE {name} END"
+        return kind, name
+
+    def candidate(self, cand: dict) -> tuple[str, str | None]:
+        """The table of a polymorphic candidate and its key column."""
+        parent = qualified(cand["table"])
+        t = self.cfg.tables.get(parent)
+        return parent, cand.get("pk_column") or (t.primary_key[0] if t and t.primary_key else None)
+
+    def direct(self, cand: dict) -> bool:
+        """Whether a candidate's keys are known without a join (or it has none)."""
+        parent, target = self.candidate(cand)
+        return self.pure(parent) and (not target or self.rows_of(parent) <= 0 or self.cell(parent, target) is not None)
+
+    def join_pair(self, key: str, out: DataFrame, pair: dict, attempt: str) -> DataFrame:
+        """Both columns of a polymorphic pair of which some candidate may have dropped rows, or exists already:
+        such candidates' keys are numbered and joined. A row of another candidate has a number of its own
+        below zero there, which meets none and lies in no crowd."""
+        d = self.dialect(key, pair["id_column"], "row", attempt)
+        n, found = len(pair["candidates"]), {}
+        for i, cand in enumerate(pair["candidates"]):
+            parent, target = self.candidate(cand)
+            if self.direct(cand):
+                continue
+            rows = self.numbered(parent)[1] if target and self.ready(parent) else 0
+            found[i] = (rows, f"`__key_{i}`")
+            if rows:
+                at = F.expr(f"CASE WHEN {d.h(0)} % {n} = {i} THEN {d.h(1)} % {rows} ELSE -1 - row END").alias(f"__at_{i}")
+                side = self.numbered(parent)[0].select(F.col("__ix").alias(f"__at_{i}"), F.col(target).cast("string").alias(f"__key_{i}"))
+                out = out.select("*", at).join(side, f"__at_{i}", "left").drop(f"__at_{i}")
+        sqls = self.polymorph(key, pair, "row", attempt, found)
+        own = self.cfg.tables[key].columns
+        return out.selectExpr(
+            *[f"`{c}`" for c in out.columns if not c.startswith("__key_")],
+            *[f"{cast_sql(sql, own[c], self.registry)} AS `{c}`" for sql, c in zip(sqls, (pair["type_column"], pair["id_column"])) if c in own],
+        )
+
+    def ready(self, parent: str) -> bool:
+        """Whether a parent's rows can be had: it exists, or is made now if nothing has made it yet."""
+        if parent not in self.existing and parent not in self.done and parent in self.cfg.tables and self.rows_of(parent) > 0 and parent not in self._making:
+            self.finish(parent)
+        return parent in self.existing or parent in self.done
 
     # --- tables -----------------------------------------------------------------------------
 
@@ -174,16 +217,21 @@ class Generator:
         """All active columns of the rows numbered in ``row``."""
         t = self.cfg.tables[key]
         joined: dict[str, list[tuple[str, str, str]]] = {}
-        exprs = ["row"]
+        exprs, pairs = ["row"], []
         for c in t.active():
             sql = self.cell(key, c, "row", attempt)
-            if sql is None:
+            pair = next((p for p in t.polymorphs if c in (p["type_column"], p["id_column"]) and p.get("candidates")), None)
+            if sql is None and pair:
+                pairs += [pair] if pair not in pairs else []
+            elif sql is None:
                 parent, target, at = self.pick(key, c, t.columns[c], "row", attempt)
                 joined.setdefault(parent, []).append((c, target, at))
                 exprs.append(f"{at} AS `__at_{c}`")
             else:
                 exprs.append(f"{cast_sql(sql, t.columns[c], self.registry)} AS `{c}`")
         out = rows.selectExpr(*exprs)
+        for pair in pairs:
+            out = self.join_pair(key, out, pair, attempt)
         for parent, columns in joined.items():
             numbered, n = self.numbered(parent)
             for c, target, _ in columns:
@@ -215,13 +263,19 @@ class Generator:
         for key in self.plan.order:
             if self.rows_of(key) <= 0 or key in self.existing:
                 continue
-            df, dropped = self.table(key)
-            self.done[key] = df
-            out.tables[key] = df if keep_row else df.drop("row")
-            if dropped:
-                out.dropped.append(dropped)
+            if key not in self.done:
+                self.finish(key)
+            out.tables[key] = self.done[key] if keep_row else self.done[key].drop("row")
+            if key in self.lost:
+                out.dropped.append(self.lost[key])
         return out
 
+    def finish(self, key: str) -> None:
+        self._making.add(key)
+        self.done[key], dropped = self.table(key)
+        if dropped:
+            self.lost[key] = dropped
+
 
 def pushed_down(check: dict) -> bool:
     names = check.get("columns") or []

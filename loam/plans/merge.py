@@ -6,13 +6,12 @@ import copy
 
 from .config import ColumnSpec, Config, Table
 
-#: Parameters that follow the schema, whoever set them.
+#: Parameters that follow the schema, whoever set them: they are there if the schema says so.
 FROM_SCHEMA = frozenset({"target", "values", "deferrable", "element", "max_len"})
 
 
 def merge_params(old: dict, new: dict) -> dict:
-    out = {**new, **{k: v for k, v in old.items() if k not in FROM_SCHEMA}}
-    return out | {k: v for k, v in old.items() if k in FROM_SCHEMA and k not in new} | {k: new[k] for k in FROM_SCHEMA & new.keys()}
+    return new | {k: v for k, v in old.items() if k not in FROM_SCHEMA}
 
 
 def merge_column(old: ColumnSpec, new: ColumnSpec) -> ColumnSpec:

@@ -85,7 +85,9 @@ _generator("gen_enum_numeric", "enum_value", {"values": [1, 2, 5]}, Column("grad
 
 @query("gen_literal", f"SELECT row AS row_id, 'fixed' AS text_value, 7::BIGINT AS int_value, true AS bool_value FROM {ROWS_SQL}")
 def _literal(spark, sf_dir):
-    return rows(spark, sf_dir).select(F.col("row").alias("row_id"), F.lit("fixed").alias("text_value"), F.lit(7).cast("long").alias("int_value"), F.lit(True).alias("bool_value"))
+    g = Generator(spark, _config({"t": {"row_count": 1, "columns": {"text_value": {"value": "fixed"}, "int_value": {"value": 7}, "bool_value": {"value": True}}}}))
+    text, number, flag = (F.expr(g.cell("public.t", c)) for c in ("text_value", "int_value", "bool_value"))
+    return rows(spark, sf_dir).select(F.col("row").alias("row_id"), text.alias("text_value"), number.cast("long").alias("int_value"), flag.alias("bool_value"))
 
 
 def _config(tables: dict, seed: int = 42):
@@ -178,6 +180,31 @@ def _fk_polymorphic(spark, sf_dir):
     return rows(spark, sf_dir).select(F.col("row").alias("row_id"), *[F.expr(g.cell("public.orders", c)).alias(c) for c in ("owner_type", "owner_id")])
 
 
+def _polymorph_dropped_sql(type_name: str, keys: str, salt: str) -> str:
+    """A pair of one candidate whose keys are numbered from 0 in their order."""
+    d = Duck(42, "public.orders", salt)
+    return f"WITH p AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS ix, count(*) OVER () AS n FROM ({keys})), r AS (SELECT row, {d.h(1)} AS h FROM {ROWS_SQL}) SELECT r.row AS row_id, '{type_name}' AS owner_type, CAST(p.k AS VARCHAR) AS owner_id FROM r JOIN p ON p.ix = r.h % p.n"
+
+
+def _polymorph_over(spark, sf_dir, tables: dict, candidate: dict, existing=None):
+    pair = {"type_column": "owner_type", "id_column": "owner_id", "candidates": [candidate]}
+    g = Generator(spark, _config({**tables, "orders": {"row_count": 1, "columns": {"owner_type": {"data_type": "text"}, "owner_id": {"data_type": "text"}}, "polymorphs": [pair]}}), existing=existing)
+    return g.project("public.orders", rows(spark, sf_dir), "0").withColumnRenamed("row", "row_id")
+
+
+@query("fk_polymorphic_dropped_parent", f"SELECT row AS row_id, 'Single' AS owner_type, '1' AS owner_id FROM {ROWS_SQL}")
+def _fk_polymorphic_dropped(spark, sf_dir):
+    """Of the parent's fifty rows one is left, as its UNIQUE column is a literal: every reference names that row."""
+    parent = {"row_count": 50, "primary_key": ["id"], "unique_keys": [["kind"]], "columns": {"id": {"factory": "pk_serial", "data_type": "integer"}, "kind": {"value": "config"}}}
+    return _polymorph_over(spark, sf_dir, {"singles": parent}, {"table": "singles"})
+
+
+@query("fk_polymorphic_existing_parent", _polymorph_dropped_sql("Customer", "SELECT c_custkey AS k FROM customer", "owner_id"))
+def _fk_polymorphic_existing(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    return _polymorph_over(spark, sf_dir, {}, {"table": "customers", "pk_column": "c_custkey"}, {"customers": keys.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")})
+
+
 @query("fk_composite_consistent", f"SELECT row AS row_id, CAST(1 + ({Duck(42, 'public.orders', 'fk public.pairs').h(chr(39) + 'fk' + chr(39))} % 500) AS BIGINT) AS pair_a, CAST(1001 + ({Duck(42, 'public.orders', 'fk public.pairs').h(chr(39) + 'fk' + chr(39))} % 500) AS BIGINT) AS pair_b FROM {ROWS_SQL}")
 def _fk_composite(spark, sf_dir):
     pairs = {"row_count": 500, "primary_key": ["a", "b"], "columns": {"a": {"factory": "pk_serial"}, "b": {"factory": "pk_serial", "params": {"start": 1001}}}}
@@ -238,12 +265,13 @@ def _literal_drop(spark, sf_dir):
     return made.tables["public.singleton"].select("kind", F.lit(d.requested).cast("long").alias("requested"), F.lit(d.emitted).cast("long").alias("emitted"))
 
 
-_A, _B = permutation(0, 300 * 400, 7)
+_FILL = {"a": 30_000, "b": 40_000}  # places for every row
+_A, _B = permutation(0, 30_000 * 40_000, 7)
 
 
-@query("unique_permutation_fill", f"WITH p AS (SELECT row, CAST(({_A}::HUGEINT * row + {_B}) % 120000 AS BIGINT) AS spot FROM {ROWS_SQL} WHERE row < 120000) SELECT row AS row_id, spot % 300 AS a, (spot // 300) % 400 AS b FROM p")
+@query("unique_permutation_fill", f"WITH p AS (SELECT row, CAST(({_A}::HUGEINT * row + {_B}) % 1200000000 AS BIGINT) AS spot FROM {ROWS_SQL}) SELECT row AS row_id, spot % 30000 AS a, (spot // 30000) % 40000 AS b FROM p")
 def _permutation(spark, sf_dir):
-    return fill_pairs(rows(spark, sf_dir), {"a": 300, "b": 400}, 7).select(F.col("row").alias("row_id"), "a", "b")
+    return fill_pairs(rows(spark, sf_dir), _FILL, 7).select(F.col("row").alias("row_id"), "a", "b")
 
 
 # --- graph and plan --------------------------------------------------------------------------
@@ -393,12 +421,12 @@ def _classify(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in _NAMES], "table_name string").select("table_name", class_name_column("table_name").alias("class_name"))
 
 
-@query("merge_full_outer", "WITH old AS (SELECT c_custkey AS k, 'f' || (c_custkey % 7) AS factory, c_nationkey AS nation FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS k, 'n' || (c_custkey % 5) AS factory, c_nationkey + 100 AS nation FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(old.k, new.k) AS k, CASE WHEN coalesce(old.factory, 'f0') <> 'f0' THEN old.factory ELSE coalesce(new.factory, old.factory) END AS factory, coalesce(new.nation, old.nation)::BIGINT AS nation, new.k IS NULL AS removed FROM old FULL JOIN new ON old.k = new.k")
+@query("merge_full_outer", "WITH old AS (SELECT c_custkey AS k, 'f' || (c_custkey % 7) AS factory, c_nationkey AS nation FROM customer), new AS (SELECT c_custkey + 50 AS k, 'n' || (c_custkey % 5) AS factory, c_nationkey + 100 AS nation FROM customer) SELECT coalesce(old.k, new.k) AS k, CASE WHEN coalesce(old.factory, 'f0') <> 'f0' THEN old.factory ELSE coalesce(new.factory, old.factory) END AS factory, coalesce(new.nation, old.nation)::BIGINT AS nation, new.k IS NULL AS removed FROM old FULL JOIN new ON old.k = new.k")
 def _merge(spark, sf_dir):
     """Two generations of a table's settings, key by key: the old factory stays if set, the schema's part is renewed."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
-    old = c.filter("k % 3 <> 0").select("k", F.concat(F.lit("f"), (F.col("k") % 7).cast("string")).alias("of"), F.col("c_nationkey").alias("on"))
-    new = c.filter("k % 2 = 0").select(F.col("k").alias("nk"), F.concat(F.lit("n"), (F.col("k") % 5).cast("string")).alias("nf"), (F.col("c_nationkey") + 100).alias("nn"))
+    old = c.select("k", F.concat(F.lit("f"), (F.col("k") % 7).cast("string")).alias("of"), F.col("c_nationkey").alias("on"))
+    new = c.select((F.col("k") + 50).alias("nk"), F.concat(F.lit("n"), (F.col("k") % 5).cast("string")).alias("nf"), (F.col("c_nationkey") + 100).alias("nn"))
     both = old.join(new, F.col("k") == F.col("nk"), "full_outer")
     return both.select(
         F.coalesce("k", "nk").alias("k"),
@@ -453,13 +481,17 @@ _REFS_SQL = "refs(table_name, column_name, target) AS (VALUES " + ", ".join(f"({
 
 @query("lint_fk_target", f"WITH {_REFS_SQL} SELECT * FROM refs WHERE target NOT IN (SELECT target FROM known)")
 def _lint_target(spark, sf_dir):
-    return spark.createDataFrame(_REFS, "table_name string, column_name string, target string").join(spark.createDataFrame(_KNOWN, "target string"), "target", "left_anti").select("table_name", "column_name", "target")
+    cfg = _config(LINTED)
+    found = [(i.table.split(".")[1], i.column, cfg.tables[i.table].columns[i.column].params["target"]) for i in lint(cfg, REGISTRY) if i.kind == "fkref-target-not-found"]
+    return spark.createDataFrame(found, "table_name string, column_name string, target string")
 
 
 @query("lint_composite_fk", f"WITH {_REFS_SQL} SELECT table_name, split_part(target, '.', 1) AS parent, count(DISTINCT split_part(target, '.', 2)) AS n FROM refs GROUP BY ALL HAVING n > 1")
 def _lint_composite(spark, sf_dir):
-    r = spark.createDataFrame(_REFS, "table_name string, column_name string, target string")
-    return r.groupBy("table_name", F.split_part("target", F.lit("."), F.lit(1)).alias("parent")).agg(F.countDistinct(F.split_part("target", F.lit("."), F.lit(2))).alias("n")).filter("n > 1")
+    """Read from the findings' texts: the table, its parent, and how many of the parent's columns it names."""
+    found = [(i.location.split(".")[1], i.message) for i in lint(_config(LINTED), REGISTRY) if i.kind == "composite-fk"]
+    parts = F.regexp_extract("message", r"FK to \w+\.(\w+) ", 1), F.size(F.split(F.regexp_extract("message", r"\((.*)\)", 1), ", "))
+    return spark.createDataFrame(found, "table_name string, message string").select("table_name", parts[0].alias("parent"), parts[1].cast("long").alias("n"))
 
 
 # --- audits ----------------------------------------------------------------------------------
@@ -534,13 +566,13 @@ def _quote(spark, sf_dir):
     return d.select("doc_id", F.md5("q").alias("quoted_md5"), F.length("q").cast("long").alias("quoted_length"))
 
 
-_MONEY_SQL = "regexp_replace(regexp_replace(CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+_MONEY_SQL = "regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '')"
 
 
 @query("emit_literals", f"SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS key_text, {_quote_sql('o_orderstatus')} AS status_text, {_MONEY_SQL} AS price_text, CASE WHEN o_orderstatus = 'F' THEN 'TRUE' WHEN o_orderstatus = 'P' THEN 'NULL' ELSE 'FALSE' END AS flag_text, '''' || regexp_replace(regexp_replace(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '\\.$', '') || '+00''' AS date_text, '''\\x' || lower(hex(encode(o_orderpriority))) || '''' AS bytes_text, 'ARRAY[' || CAST(o_orderkey AS VARCHAR) || ', ' || CAST(o_custkey AS VARCHAR) || ']' AS list_text FROM orders")
 def _literals(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).cast("decimal(18,2)").alias("price"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("flag"),
+        "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("flag"),
         F.col("o_orderdate").cast("timestamp").alias("at"), F.encode("o_orderpriority", "UTF-8").alias("b"), F.array("o_orderkey", "o_custkey").alias("l"),
     )
     names = {"o_orderkey": "key_text", "o_orderstatus": "status_text", "price": "price_text", "flag": "flag_text", "at": "date_text", "b": "bytes_text", "l": "list_text"}

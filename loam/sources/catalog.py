@@ -7,6 +7,8 @@ were saved from one, and on the catalogue of a Spark session.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,19 +71,25 @@ def unique_indexes(indexes: DataFrame, constraints: DataFrame) -> DataFrame:
     return own.join(named, ["table_schema", "table_name", "index_name"], "left_anti")
 
 
+def index_keys(indexes: DataFrame, constraints: DataFrame) -> DataFrame:
+    """The unique indexes' expressions in their order, and their predicate (empty: none)."""
+    return unique_indexes(indexes, constraints).groupBy("table_schema", "table_name", "index_name", "predicate").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "expression"))), lambda s: s["expression"]).alias("expressions")
+    )
+
+
 def foreign_keys(references: DataFrame, usage: DataFrame) -> DataFrame:
-    """Each reference with its columns and their targets, position by position, actions spelled out."""
-    pairs = usage.select("constraint_name", "table_schema", "table_name", "column_name", F.col("ordinal_position").alias("at"))
-    child = references.join(pairs, "constraint_name")
-    target = usage.select(
-        F.col("constraint_name").alias("unique_name"), F.col("table_schema").alias("parent_schema"), F.col("table_name").alias("parent_name"),
-        F.col("column_name").alias("parent_column"), F.col("ordinal_position").alias("at"),
-    )
+    """Each reference with its columns and their targets, position by position, actions spelled out.
+    Constraints are known by schema, table and name: every table may have its own of one name."""
+    at = F.col("ordinal_position").alias("at")
+    own = ["table_schema", "table_name", "constraint_name"]
+    child = references.join(usage.select(*own, "column_name", at), own)
+    target = usage.select(F.col("table_schema").alias("parent_schema"), F.col("table_name").alias("parent_name"), F.col("constraint_name").alias("unique_name"), F.col("column_name").alias("parent_column"), at)
     # The catalogue's action codes.
     word = lambda c: F.coalesce(F.create_map(*[F.lit(x) for x in ("a", "NO ACTION", "r", "RESTRICT", "c", "CASCADE", "n", "SET NULL", "d", "SET DEFAULT")])[F.col(c)], F.lit("NO ACTION"))
     listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("at", c))), lambda s: s[c])
     return (
-        child.join(target, ["unique_name", "at"])
+        child.join(target, ["parent_schema", "parent_name", "unique_name", "at"])
         .withColumns({"on_delete": word("delete_code"), "on_update": word("update_code")})
         .groupBy("constraint_name", "table_schema", "table_name", "parent_schema", "parent_name", "on_delete", "on_update", "deferrable")
         .agg(listed("column_name").alias("columns"), listed("parent_column").alias("parent_columns"))
@@ -149,20 +157,25 @@ PG_QUERIES = {
     "constraints": "SELECT constraint_schema, constraint_name, table_schema, table_name, constraint_type FROM information_schema.table_constraints",
     "usage": "SELECT constraint_schema, constraint_name, table_schema, table_name, column_name, ordinal_position::int AS ordinal_position FROM information_schema.key_column_usage",
     "enums": "SELECT n.nspname AS enum_schema, t.typname AS enum_name, e.enumsortorder::float8 AS sort_order, e.enumlabel AS label FROM pg_type t JOIN pg_enum e ON e.enumtypid = t.oid JOIN pg_namespace n ON n.oid = t.typnamespace",
-    "references": "SELECT c.conname AS constraint_name, u.conname AS unique_name, c.confdeltype::text AS delete_code, c.confupdtype::text AS update_code, c.condeferrable AS deferrable FROM pg_constraint c JOIN pg_constraint u ON u.conrelid = c.confrelid AND u.conindid = c.conindid AND u.contype IN ('p', 'u') WHERE c.contype = 'f'",
+    "references": "SELECT n.nspname AS table_schema, r.relname AS table_name, c.conname AS constraint_name, pn.nspname AS parent_schema, pr.relname AS parent_name, u.conname AS unique_name, c.confdeltype::text AS delete_code, c.confupdtype::text AS update_code, c.condeferrable AS deferrable FROM pg_constraint c JOIN pg_class r ON r.oid = c.conrelid JOIN pg_namespace n ON n.oid = r.relnamespace JOIN pg_class pr ON pr.oid = c.confrelid JOIN pg_namespace pn ON pn.oid = pr.relnamespace JOIN pg_constraint u ON u.conrelid = c.confrelid AND u.conindid = c.conindid AND u.contype IN ('p', 'u') WHERE c.contype = 'f'",
+    "indexes": "SELECT n.nspname AS table_schema, r.relname AS table_name, x.relname AS index_name, i.indisunique AS is_unique, i.indisprimary AS is_primary, k.place::int AS place, pg_get_indexdef(i.indexrelid, k.place::int, false) AS expression, coalesce(pg_get_expr(i.indpred, i.indrelid), '') AS predicate FROM pg_index i JOIN pg_class x ON x.oid = i.indexrelid JOIN pg_class r ON r.oid = i.indrelid JOIN pg_namespace n ON n.oid = r.relnamespace CROSS JOIN LATERAL generate_series(1, i.indnkeyatts) AS k(place) WHERE i.indisunique AND i.indisvalid",
     "checks": "SELECT n.nspname AS table_schema, r.relname AS table_name, c.conname AS name, pg_get_constraintdef(c.oid) AS definition, c.contype::text AS kind FROM pg_constraint c JOIN pg_class r ON r.oid = c.conrelid JOIN pg_namespace n ON n.oid = r.relnamespace WHERE c.contype IN ('c', 'x') AND c.convalidated",
     "triggers": "SELECT p.prosrc AS body FROM pg_trigger t JOIN pg_proc p ON p.oid = t.tgfoid WHERE NOT t.tgisinternal",
 }
 
 
+def _columns_in(t: TableModel, expression: str) -> list[str]:
+    """The table's columns that an expression names, outside its strings."""
+    bare = re.sub(r"'(?:[^']|'')*'", "", expression)
+    return [c.name for c in t.columns if re.search(rf"(?<![\w:]){re.escape(c.name)}\b(?!\s*\()", bare)]
+
+
 def read_jdbc_catalog(spark: SparkSession, url: str, properties: dict | None = None) -> dict[str, DataFrame]:
     return {k: spark.read.jdbc(url, f"({q}) AS q", properties=properties or {}) for k, q in PG_QUERIES.items()}
 
 
 def model_from_catalog(frames: dict[str, DataFrame], schemas=("public",)) -> SchemaModel:
     """Model of catalogue tables as ``read_jdbc_catalog`` gives them; a catalogue is small, so rows are collected."""
-    import re
-
     model = SchemaModel("postgres", list(schemas))
     wanted = lambda df: df.filter(F.col("table_schema").isin(list(schemas)) if schemas else ~F.col("table_schema").rlike("^(pg_|information_schema)"))
     for r in frames["enums"].transform(enum_labels).collect():
@@ -182,13 +195,20 @@ def model_from_catalog(frames: dict[str, DataFrame], schemas=("public",)) -> Sch
                 t.primary_key = list(r["columns"])
             else:
                 t.unique_keys.append(list(r["columns"]))
+    for r in index_keys(frames["indexes"], frames["constraints"]).orderBy("table_schema", "table_name", "index_name").collect():
+        if t := by_key.get(f"{r['table_schema']}.{r['table_name']}"):
+            columns = list(dict.fromkeys(c for e in r["expressions"] for c in _columns_in(t, e)))
+            if columns and r["predicate"]:
+                t.partial_unique_keys.append({"columns": columns, "predicate": r["predicate"]})
+            elif columns:
+                t.unique_keys.append(columns)
     for r in foreign_keys(frames["references"], frames["usage"]).collect():
         if t := by_key.get(f"{r['table_schema']}.{r['table_name']}"):
             t.foreign_keys.append(ForeignKey(r["constraint_name"], list(r["columns"]), f"{r['parent_schema']}.{r['parent_name']}", list(r["parent_columns"]), r["on_delete"], r["on_update"], r["deferrable"]))
     for r in wanted(frames["checks"]).collect():
         if t := by_key.get(f"{r['table_schema']}.{r['table_name']}"):
             body = re.sub(r"^CHECK\s*", "", r["definition"])
-            names = [c.name for c in t.columns if re.search(rf"\b{re.escape(c.name)}\b", re.sub(r"'[^']*'", "", body))]
+            names = _columns_in(t, body)
             (t.checks if r["kind"] == "c" else t.excludes).append({"name": r["name"], ("expression" if r["kind"] == "c" else "definition"): body, "columns": names})
     for r in trigger_populated(frames["triggers"], frames["tables"]).collect():
         if t := by_key.get(f"{r['table_schema']}.{r['table_name']}"):

@@ -147,7 +147,7 @@ def test_literals(spark):
     assert got[1] == ["E''", "0", "FALSE", "'NaN'::float8", "'2024-01-02 00:00:00+00'", "'\\x'", "ARRAY[]::text[]"]
     assert got[2] == ["NULL"] * 7
     d = spark.createDataFrame([(1e7,), (0.00001,), (1e20,), (100.0,), (float("-inf"),)], "d double")
-    assert [r[0] for r in d.select(emit.literal(F.col("d"), T.DoubleType())).collect()] == ["10000000", "1.0e-5", "1.0e20", "100", "'-Infinity'::float8"]
+    assert [r[0] for r in d.select(emit.literal(F.col("d"), T.DoubleType())).collect()] == ["10000000", "1e-05", "1e+20", "100", "'-Infinity'::float8"]
 
 
 def test_script(spark):
@@ -199,9 +199,15 @@ def test_catalogue_operators(spark):
     cons = spark.createDataFrame([("s", "pk", "s", "t", "PRIMARY KEY"), ("s", "fk", "s", "c", "FOREIGN KEY")], "constraint_schema string, constraint_name string, table_schema string, table_name string, constraint_type string")
     usage = spark.createDataFrame([("s", "pk", "s", "t", "b", 2), ("s", "pk", "s", "t", "a", 1), ("s", "fk", "s", "c", "x", 1), ("s", "fk", "s", "c", "y", 2)], "constraint_schema string, constraint_name string, table_schema string, table_name string, column_name string, ordinal_position int")
     assert catalog.key_columns(cons, usage).first()["columns"] == ["a", "b"]
-    refs = spark.createDataFrame([("fk", "pk", "c", "a", True)], "constraint_name string, unique_name string, delete_code string, update_code string, deferrable boolean")
+    kinds = "table_schema string, table_name string, constraint_name string, parent_schema string, parent_name string, unique_name string, delete_code string, update_code string, deferrable boolean"
+    refs = spark.createDataFrame([("s", "c", "fk", "s", "t", "pk", "c", "a", True)], kinds)
     r = catalog.foreign_keys(refs, usage).first()
     assert (r["columns"], r["parent_columns"], r["on_delete"], r["on_update"]) == (["x", "y"], ["a", "b"], "CASCADE", "NO ACTION")
+    # Constraints of one name on two tables are two references.
+    both = usage.union(spark.createDataFrame([("s", "pk", "s", "u", "k", 1), ("s", "fk", "s", "d", "z", 1)], usage.schema))
+    refs = refs.union(spark.createDataFrame([("s", "d", "fk", "s", "u", "pk", "n", "a", False)], kinds))
+    got = {r["table_name"]: (r["columns"], r["parent_name"], r["parent_columns"], r["on_delete"]) for r in catalog.foreign_keys(refs, both).collect()}
+    assert got == {"c": (["x", "y"], "t", ["a", "b"], "CASCADE"), "d": (["z"], "u", ["k"], "SET NULL")}
     ix = spark.createDataFrame([("s", "t", "pk", True, True), ("s", "t", "u", True, False), ("s", "t", "n", False, False)], "table_schema string, table_name string, index_name string, is_unique boolean, is_primary boolean")
     assert [x["index_name"] for x in catalog.unique_indexes(ix, cons).collect()] == ["u"]
     tables = spark.createDataFrame([("s", "log"), ("s", "t")], "table_schema string, table_name string")
@@ -210,6 +216,63 @@ def test_catalogue_operators(spark):
     assert catalog.enum_labels(enums).first()["labels"] == ["a", "b"]
 
 
+def test_model_from_a_catalogue(spark):
+    """Keys, unique indexes (of a constraint, whole, partial, over expressions) and references of one name."""
+    f = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    key = "constraint_schema string, constraint_name string, table_schema string, table_name string"
+    column = lambda t, c, at, kind="integer": ("s", t, c, at, kind, kind, True, "", False, False, None, None, None)
+    frames = {
+        "tables": f([("s", "t"), ("s", "c"), ("s", "d")], "table_schema string, table_name string"),
+        "columns": f([column("t", "id", 1), column("t", "name", 2, "text"), column("t", "state", 3, "text"), column("c", "t_id", 1), column("d", "t_id", 1)], "table_schema string, table_name string, column_name string, position int, data_type string, udt string, nullable boolean, column_default string, generated boolean, identity boolean, char_max int, num_precision int, num_scale int"),
+        "constraints": f([("s", "pk", "s", "t", "PRIMARY KEY"), ("s", "own", "s", "t", "UNIQUE")], key + ", constraint_type string"),
+        "usage": f([("s", "pk", "s", "t", "id", 1), ("s", "own", "s", "t", "state", 1), ("s", "fk", "s", "c", "t_id", 1), ("s", "fk", "s", "d", "t_id", 1)], key + ", column_name string, ordinal_position int"),
+        "enums": f([], "enum_schema string, enum_name string, sort_order double, label string"),
+        "references": f([("s", x, "fk", "s", "t", "pk", "a", "a", False) for x in "cd"], "table_schema string, table_name string, constraint_name string, parent_schema string, parent_name string, unique_name string, delete_code string, update_code string, deferrable boolean"),
+        "indexes": f(
+            [("s", "t", "pk", True, True, 1, "id", ""), ("s", "t", "own", True, False, 1, "state", ""), ("s", "t", "two", True, False, 2, "id", ""), ("s", "t", "two", True, False, 1, "lower(name)", ""), ("s", "t", "part", True, False, 1, "name", "(state = 'name'::text)"), ("s", "t", "plain", False, False, 1, "name", "")],
+            "table_schema string, table_name string, index_name string, is_unique boolean, is_primary boolean, place int, expression string, predicate string",
+        ),
+        "checks": f([], "table_schema string, table_name string, name string, definition string, kind string"),
+        "triggers": f([], "body string"),
+    }
+    assert frames.keys() == catalog.PG_QUERIES.keys()
+    m = catalog.model_from_catalog(frames, ["s"])
+    t = m.table("s.t")
+    assert t.primary_key == ["id"] and t.unique_keys == [["state"], ["name", "id"]]
+    assert t.partial_unique_keys == [{"columns": ["name"], "predicate": "(state = 'name'::text)"}]
+    assert [(x.columns, x.parent, x.parent_columns) for k in "cd" for x in m.table(f"s.{k}").foreign_keys] == [(["t_id"], "s.t", ["id"])] * 2
+
+
+def test_floats_read_back(spark):
+    values = [0.00012345678901234567, 1e-4, 9.999e-5, 123456789012345.67, 999999999999999.9, 1e15, 1.5e300, -2.5e-7, 0.1, 100.0, 1e7, 2.0, 1 / 3, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 0.0, -0.0, 4.35, 2e-3, 1e23, 9007199254740993.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(emit.literal(F.col("v"), T.DoubleType())).collect()]
+    assert all(float(g) == v for g, v in zip(got, values)), list(zip(got, values))
+    assert got[:6] == ["0.00012345678901234567", "0.0001", "9.999e-05", "123456789012345.67", "999999999999999.9", "1e+15"]
+    assert got[6:12] == ["1.5e+300", "-2.5e-07", "0.1", "100", "10000000", "2"] and got[16:18] == ["0", "-0"]
+
+
+def test_polymorphs_name_rows_that_are_there(spark):
+    """Over a parent that dropped rows, one that exists, one that is made later, and none."""
+    few = {"row_count": 50, "primary_key": ["id"], "unique_keys": [["k"]], "columns": {"id": SERIAL, "k": {"factory": "integer", "params": {"min": 1, "max": 3}}}}
+    pair = {"type_column": "o_type", "id_column": "o_id", "candidates": [{"table": "zfew"}, {"table": "old", "pk_column": "key"}, {"table": "users"}, {"table": "ghosts"}]}
+    cfg = from_mapping({"version": 1, "tables": {"zfew": few, "users": {"row_count": 7, "primary_key": ["id"], "columns": {"id": SERIAL}}, "c": {"row_count": 400, "polymorphs": [pair], "columns": {"o_type": {"data_type": "text"}, "o_id": {"data_type": "integer"}}}}})
+    made = Generator(spark, cfg, existing={"old": spark.createDataFrame([(1001,), (1002,)], "key long")}).run()
+    t, ids = made.tables["public.c"], {r["id"] for r in made.tables["public.zfew"].collect()}
+    assert t.count() == 400 and len(ids) == 3 and made.dropped[0].emitted == 3
+    by: dict = {}
+    for r in t.collect():
+        by.setdefault(r["o_type"], set()).add(r["o_id"])
+    assert by == {"Zfew": ids, "Old": {1001, 1002}, "User": set(range(1, 8)), None: {None}}
+
+
+def test_long_chains_of_references_need_no_join(spark):
+    n = 24
+    tables = {f"t{i:02d}": {"row_count": 9, "primary_key": ["id"], "columns": {"id": SERIAL if i == 0 else ref(f"t{i - 1:02d}.id")}} for i in range(n)}
+    tables["t23"]["primary_key"] = []
+    last = Generator(spark, from_mapping({"version": 1, "tables": {k: {**t, "primary_key": []} for k, t in tables.items()}})).run().tables["public.t23"]
+    assert "Join" not in last._jdf.queryExecution().executedPlan().toString() and last.filter("id between 1 and 9").count() == 9
+
+
 def test_model_from_frames_generates_like_tables(spark, sf):
     frames = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders")}
     from loam.plans.build import build

@@ -138,10 +138,11 @@ def test_merge_keeps_edits_and_renews_schema():
     out = merge(old, new)
     a = out.tables["public.t"].columns["a"]
     assert (out.tables["public.t"].row_count, a.factory, a.unresolved, a.data_type) == (7, "city", False, "varchar")
-    assert a.params == {"x": 1, "y": 2, "max_len": 20, "target": "old"}
+    assert a.params == {"x": 1, "y": 2, "max_len": 20}  # the target is gone from the schema
     assert out.tables["public.t"].columns["gone"].removed and out.tables["public.lost"].removed
     assert to_mapping(merge(out, new)) == to_mapping(out)
     assert merge_params({"values": [1], "k": 1}, {"values": [2], "k": 2}) == {"values": [2], "k": 1}
+    assert merge_params({"values": [1], "max_len": 3, "deferrable": True, "element": "_text"}, {}) == {}
 
 
 def test_sync_leaves_other_tables_alone():
