@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import WordTable, byte_of_char, ids_and_text, slices, stash
-from .packing import tokenizer_text
+from .packing import refuse_other_rules, tokenizer_text
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
@@ -32,6 +32,8 @@ SPLIT = re.compile(
     f" ?[{_LETTER}]++(?![^\\x00-\\x7f])| ?[0-9]++(?![^\\x00-\\x7f])| ?(?!')[{_MARK}]++(?![^\\x00-\\x7f])| ?[^{_WS}]+|[{_WS}]+(?=[{_WS}][^{_WS}])|[{_WS}]+"
 )
 SPECIAL = "<|endoftext|>"
+# Splitting as tokenizer files state it.
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: A block ends with so many characters or distinct pieces.
 BLOCK_CHARS = 32_000_000
 BLOCK_PIECES = 500_000
@@ -174,6 +176,11 @@ def _blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFram
 
 def _encoded_blocks(docs: DataFrame, text: str, each, schema, id_col: str, text_col: str) -> DataFrame:
     """``each(doc_ids, lens, positions, ids of each distinct piece)`` gives the rows of a block."""
+    import json
+
+    refuse_other_rules(text, None, _PRE_TOKENIZER, "byte_bpe_50k.json")
+    if [t["content"] for t in json.loads(text)["added_tokens"]] != [SPECIAL]:
+        raise ValueError(f"the only added token that texts are split at is {SPECIAL}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(text)

@@ -54,6 +54,25 @@ def tokenizer_text(path: str | None, name: str) -> str:
         return f.read()
 
 
+def refuse_other_rules(text: str, normalizer, pre_tokenizer, kind: str) -> None:
+    """A tokenizer file whose normalisation or splitting isn't what the caller's own splitting follows."""
+    import json
+
+    file = json.loads(text)
+    if file.get("normalizer") != normalizer or file.get("pre_tokenizer") != pre_tokenizer or file["model"].get("type") != "BPE" or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
+        raise ValueError(f"this tokenizer does not normalise and split as {kind}: its texts would be cut wrongly")
+
+
+# Normalisation and splitting as tokenizer files state them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 #: Words of these characters alone are split here as the tokenizer splits them: runs of letters,
 #: single digits, runs of marks. (With an apostrophe a contraction may be split off.)
 _PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9!-&(-/:-@\\[-`{-~]+")
@@ -93,9 +112,11 @@ def word_table(text: str) -> WordTable:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` ids; with ``with_ids`` also the ids themselves."""
-    rows = ids_and_text(docs, id_col, text_col)
-    shared = rows.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer, "word_bpe_49k.json"))
+    """Pieces of at most ``capacity`` ids; with ``with_ids`` also the ids themselves. ``tokenizer``: another
+    file of the same rules; one that normalises or splits in another way is refused."""
+    rows, text = ids_and_text(docs, id_col, text_col), tokenizer_text(tokenizer, "word_bpe_49k.json")
+    refuse_other_rules(text, _NORMALIZER, _PRE_TOKENIZER, "word_bpe_49k.json")
+    shared = rows.sparkSession.sparkContext.broadcast(text)
     schema = T.StructType([*PIECES, T.StructField("ids", T.ArrayType(T.IntegerType(), False))]) if with_ids else PIECES
 
     def run(batches):

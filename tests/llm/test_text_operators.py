@@ -164,6 +164,17 @@ def test_both_splits_equal_the_library(word_tokenizer):
 # --- BPE
 
 
+def test_tokenizers_of_other_rules_are_refused(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "It's A text")], "doc_id long, text string")
+    words, pieces = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert packing.pack_documents(docs, words).count() == 1 and bpe.decode(bpe.encode(docs, pieces), pieces).first()["text"] == "It's A text"
+    for make in (lambda: packing.pack_documents(docs, pieces), lambda: bpe.encode(docs, words), lambda: bpe.round_trip_digests(docs, words)):
+        with pytest.raises(ValueError):
+            make()
+
+
 def test_bpe(spark, sf, odd):
     from tokenizers import Tokenizer
 
