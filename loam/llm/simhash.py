@@ -20,7 +20,7 @@ ball of each short fingerprint goes the way above; two texts link if some short
 differs in at most four bits and their checks in at most ``CHECK_BITS``. Members of a variant
 are compared with its smallest one; where the check refutes one of them, the variant's members are
 searched from one to the next, so that no link is lost. In numbers: a pair at similarity 0.8 meets in
-one table with probability 0.25 and in one of eleven with 0.96, and passes the check with 0.975.
+one table with probability 0.25 and in one of eleven with 0.96, and passes the check with 0.97.
 
 Defined results: null text is empty, its fingerprint zero, linked like any other; a row with a null
 id gets its fingerprint, a null component and makes no link; repeated rows share fingerprint and
