@@ -1,8 +1,8 @@
 """Generators of one's own.
 
 A plugin is a Python file with ``FACTORIES``, a list of ``Factory``: SQL text for Spark, preferably,
-as it stays inside code generation. ``python_factory`` wraps any function of a row number for what
-SQL can't express, by Arrow batches.
+as it stays inside code generation. For what SQL can't express, ``with_python_column`` adds a column
+from any function of the row number to a finished table, by Arrow batches.
 """
 
 from __future__ import annotations
