@@ -12,9 +12,10 @@ from loam.functions.generators import Column, Registry, value_sql
 from loam.operators import audit, emit, infer
 from loam.operators.generate import Generator, class_name, dense_index, expand_children, fill_pairs, permutation
 from loam.operators.unique import first_wins, resample
-from loam.plans import graph
+from loam.plans import checks, fix, graph
 from loam.plans.config import from_mapping
 from loam.plans.lint import counts, fix_order, issues_frame, lint
+from loam.plans.merge import merge
 from loam.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,63 @@ def _json_shape(spark, sf_dir):
     return rows(spark, sf_dir).select(F.col("row").alias("row_id"), F.expr(g.cell("public.profiles", "meta")).alias("value"))
 
 
+# What a generator's text must look like, or the bounds of its number, or the size of its pool (0: no pool).
+_FORMATS = {
+    "full_name": r"^\S+ \S+$",
+    "email": r"^user[0-9]+_[0-9]{1,4}@example\.com$",
+    "phone": r"^\+[0-9]{1,3}[0-9]{8}$",
+    "url": r"^https://example\.com/[0-9]+$",
+    "image_url": r"^https://picsum\.photos/seed/[0-9]+/200/200$",
+    "hostname": r"^tenant-[0-9]+\.example\.[a-z]+$",
+    "slug": r"^[a-z]+-[a-z]+-[0-9]+$",
+    "color": r"^#[0-9A-F]{6}$",
+    "gender": r"^(male|female)$",
+    "token": r"^[0-9a-f]{32}$",
+    "ip_address": r"^10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$",
+    "filename": r"^file_[0-9]+\.[a-z0-9]+$",
+    "username": r"^[a-z]+_user_[0-9]+$",
+    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$",
+    "checksum": r"^[0-9a-f]{40}$",
+    "version_str": r"^[0-4]\.1?[0-9]\.[0-9]{1,2}$",
+    "bool": r"^(true|false)$",
+    "bytea": r"^[0-9a-f]{32}$",
+    "date": r"^202[4-8]-[01][0-9]-[0-3][0-9]",
+    "timestamp_str": r"^202[45]-[01][0-9]-[0-3][0-9]T[0-2][0-9]:[0-5][0-9]:[0-5][0-9]\+00:00$",
+    "point": r"^\(-?[0-9]{1,2}\.[0-9]{6},-?[0-9]{1,3}\.[0-9]{6}\)$",
+    "time_of_day": r"^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$",
+    "pg_interval": r"^(0[0-9]|1[0-2]):[0-5][0-9]:00$",
+    "string": r"^string_column_[0-9]+$",
+    "json_any": r'^\{"row": ?[0-9]+\}$',
+}
+_BOUNDS = {
+    "position": (1, 100), "version_int": (1, 50), "level": (1, 10), "year": (2015, 2026), "priority": (1, 10), "percentage": (0, 100), "duration": (0, 7200),
+    "file_size": (1024, 52428800), "counter": (0, 100), "amount": (0, 9999.99), "port": (1024, 65535), "latitude": (-90, 90), "longitude": (-180, 180),
+    "integer": (0, 1000000), "decimal": (0, 10000),
+}
+_POOLS = {"first_name": 62, "last_name": 62, "company": 7, "city": 44, "country": 48, "mime_type": 12, "currency": 10, "language_code": 14, "status_code": 14}
+
+
+@query("gen_formats", "SELECT factory, (SELECT count(*) FROM orders) AS n, 0::BIGINT AS misfits, pool FROM (VALUES " + ", ".join(f"('{f}', {_POOLS.get(f, 0)}::BIGINT)" for f in (*_FORMATS, *_BOUNDS, *_POOLS)) + ") v(factory, pool)")
+def _formats(spark, sf_dir):
+    """Values held against formats, bounds and pool sizes that are stated apart from the generators; one pass over the rows."""
+    d = Dialect(42, "t")
+
+    def shown(name):
+        f, at = REGISTRY.get(name), Dialect(42, "t", f"{name}_column")
+        return _shown(d, value_sql(at, f, None, Column(f"{name}_column")), f.kind)
+
+    fits = {f: f"CAST({shown(f)} AS STRING) RLIKE {d.s(p)}" for f, p in _FORMATS.items()} | {f: f"CAST({shown(f)} AS DOUBLE) BETWEEN {a} AND {b}" for f, (a, b) in _BOUNDS.items()}
+    fits |= {f: f"{shown(f)} IS NOT NULL" for f in _POOLS}
+    cells = rows(spark, sf_dir).select(*[F.expr(x).alias(f"fit_{f}") for f, x in fits.items()], *[F.expr(f"CAST({shown(f)} AS STRING)").alias(f"pool_{f}") for f in _POOLS])
+    one = cells.agg(
+        F.count("*").alias("n"),
+        *[F.count(F.when(F.coalesce(F.col(f"fit_{f}"), F.lit(False)), None).otherwise(1)).alias(f"odd_{f}") for f in fits],
+        *[F.size(F.collect_set(f"pool_{f}")).cast("long").alias(f"size_{f}") for f in _POOLS],  # a pool has at most 62 values
+    )
+    each = F.array(*[F.struct(F.lit(f).alias("factory"), F.col(f"odd_{f}").alias("misfits"), (F.col(f"size_{f}") if f in _POOLS else F.lit(0).cast("long")).alias("pool")) for f in fits])
+    return one.select("n", F.explode(each).alias("x")).select("x.factory", "n", "x.misfits", "x.pool")
+
+
 # --- references ------------------------------------------------------------------------------
 
 _PARENTS = {
@@ -436,6 +494,81 @@ def _merge(spark, sf_dir):
     )
 
 
+# (table, column, factory, min (set by people), max_len (the schema's)); a null is unset.
+_OLD_COLUMNS = (("t", "kept", "city", 3, 20), ("t", "limit_gone", "email", None, 9), ("t", "unset", None, 4, None), ("t", "dropped", "token", 1, 7), ("gone", "c", "city", None, 5))
+_NEW_COLUMNS = (("t", "kept", "string", 1, 30), ("t", "limit_gone", "string", 2, None), ("t", "unset", "slug", None, 6), ("t", "added", "uuid", None, None), ("fresh", "c", "city", 8, None))
+
+
+def _columns_config(rows):
+    tables: dict[str, dict] = {}
+    for t, c, factory, low, longest in rows:
+        params = {k: v for k, v in (("min", low), ("max_len", longest)) if v is not None}
+        tables.setdefault(t, {"row_count": 1, "columns": {}})["columns"][c] = {"factory": factory or "", "params": params}
+    return _config(tables)
+
+
+def _columns_sql(name: str, rows) -> str:
+    cell = lambda x: "NULL" if x is None else _text(x) if isinstance(x, str) else str(x)
+    return f"{name}(t, c, factory, low, longest) AS (VALUES " + ", ".join(f"({', '.join(map(cell, r))})" for r in rows) + ")"
+
+
+@query("merge_columns", f"WITH {_columns_sql('old', _OLD_COLUMNS)}, {_columns_sql('new', _NEW_COLUMNS)} SELECT coalesce(old.t, new.t) AS table_name, coalesce(old.c, new.c) AS column_name, coalesce(old.factory, new.factory) AS factory, coalesce(old.low, new.low)::VARCHAR AS min, CASE WHEN new.c IS NULL THEN old.longest ELSE new.longest END::VARCHAR AS max_len, new.c IS NULL AS removed FROM old FULL JOIN new ON old.t = new.t AND old.c = new.c")
+def _merge_columns(spark, sf_dir):
+    """Two configurations by the merge itself: factories and bounds that people set stay, the schema's limits are renewed."""
+    made = merge(_columns_config(_OLD_COLUMNS), _columns_config(_NEW_COLUMNS))
+    shown = lambda v: None if v is None else str(v)
+    found = [(k.split(".")[1], n, c.factory, shown(c.params.get("min")), shown(c.params.get("max_len")), t.removed or c.removed) for k, t in made.tables.items() for n, c in t.columns.items()]
+    return spark.createDataFrame(found, "table_name string, column_name string, factory string, min string, max_len string, removed boolean")
+
+
+# --- CHECK push-down -------------------------------------------------------------------------
+
+# (expression, column, smallest, largest, longest, values), as the rules say, written by hand; all null: not understood.
+_PUSHED = (
+    ("(age >= 0)", "age", 0, None, None, None),
+    ("(price > 0)", "price", 1, None, None, None),
+    ("(price > (0)::numeric)", "price", 1, None, None, None),
+    ("(age BETWEEN 18 AND 120)", "age", 18, 120, None, None),
+    ("((age >= 18) AND (age <= 120) AND (age < 65))", "age", 18, 64, None, None),
+    ("(char_length((name)::text) <= 100)", "name", None, None, 100, None),
+    ("(length(name) < 100)", "name", None, None, 99, None),
+    ("((length(name) <= 50) AND (length(name) <= 80))", "name", None, None, 50, None),
+    ("(status = ANY (ARRAY['pending'::text, 'paid'::text]))", "status", None, None, None, "pending|paid"),
+    ("(status IN ('a', 'it''s', 'x, y'))", "status", None, None, None, "a|it's|x, y"),
+    ("(kind = 'only')", "kind", None, None, None, "only"),
+    ("(n IN (1, 2))", "n", None, None, None, "1|2"),
+    ("(now() > created_at)", "created_at", None, None, None, None),
+    ("(start_date < end_date)", "start_date", None, None, None, None),
+    ("((a > 0) AND (b > 0))", "a", None, None, None, None),
+    ("((a > 0) OR (a < -5))", "a", None, None, None, None),
+)
+
+
+@query("check_pushdown", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL::VARCHAR" if x is None else _text(x) for x in r) + ")" for r in _PUSHED) + ") v(expression, column_name, smallest, largest, longest, allowed)")
+def _check_pushdown(spark, sf_dir):
+    found = [(e, c, checks.parse_check(e, c) or {}) for e, c, *_ in _PUSHED]
+    out = [(e, c, *(None if k not in p else str(p[k]) for k in ("min", "max", "max_len")), "|".join(map(str, p["values"])) if "values" in p else None) for e, c, p in found]
+    return spark.createDataFrame(out, "expression string, column_name string, smallest string, largest string, longest string, allowed string")
+
+
+_HELD = {
+    "age": ("((age >= 18) AND (age <= 65))", "age BETWEEN 18 AND 65", {"factory": "integer", "data_type": "integer"}),
+    "status": ("(status = ANY (ARRAY['new'::text, 'done'::text]))", "status IN ('new', 'done')", {"factory": "string", "data_type": "text"}),
+    "name": ("(char_length((name)::text) <= 5)", "length(name) <= 5", {"factory": "full_name", "data_type": "text"}),
+    "price": ("((price > (0)::numeric) AND (price <= 99.5))", "price > 0 AND price <= 99.5", {"factory": "amount", "data_type": "numeric"}),
+}
+
+
+@query("check_generated", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS rule, count(*) AS checked, 0::BIGINT AS violations FROM orders" for c in _HELD) + ")")
+def _check_generated(spark, sf_dir):
+    """Rows generated under pushed-down CHECKs, held against the rules as SQL says them."""
+    cfg = _config({"t": {"row_count": 1, "checks": [{"name": c, "expression": e, "columns": [c]} for c, (e, _, _) in _HELD.items()], "columns": {c: spec for c, (_, _, spec) in _HELD.items()}}})
+    left = checks.apply_checks(cfg.tables["public.t"])
+    made = Generator(spark, cfg).project("public.t", rows(spark, sf_dir), "0")
+    bad = audit.checks(made.filter(" AND ".join(f"{c} IS NOT NULL" for c in _HELD)), {c: rule for c, (_, rule, _) in _HELD.items() if c not in left})
+    return bad.join(F.broadcast(made.agg(F.count("*").alias("checked"))), how="cross").select("rule", "checked", "violations")  # one row
+
+
 # --- lint ------------------------------------------------------------------------------------
 
 LINTED = {
@@ -455,12 +588,34 @@ LINTED = {
 }
 
 
-@query("lint_issues")
+# The findings that the model above has by the rules, written by hand: level, kind, location, message, hint, fixable.
+_FOUND_SQL = """found(level, kind, location, message, hint, fixable) AS (VALUES
+  ('ERR', 'fkref-missing-target', 'public.children.bare', 'fkref: missing target', 'name the target as schema.table.column', true),
+  ('ERR', 'fkref-target-not-found', 'public.children.lost', 'fkref: target ghosts.id not found', 'pick an existing key column', true),
+  ('ERR', 'no-factory', 'public.children.none', 'no factory', 'add a factory or a literal value', true),
+  ('ERR', 'unknown-factory', 'public.children.odd', 'unknown factory no_such', 'is it misspelt, or a plugin''s?', true),
+  ('ERR', 'value-type-mismatch', 'public.children.wrong', 'value type mismatch: text in a integer column', 'use a literal of the right type', true),
+  ('ERR', 'row-count-per-missing', 'public.children', 'row_count_per: parent ghosts missing', 'fix the key or remove the entry', true),
+  ('ERR', 'fkref-empty-pool', 'public.children.parent_id', 'fkref NOT NULL: public.parents has no rows', 'raise the parent''s count, allow nulls or set a value', true),
+  ('ERR', 'fkref-in-cycle', 'public.left.right_id', 'fkref NOT NULL within a cycle: public.right', 'allow nulls or set a value', true),
+  ('ERR', 'non-deferrable-cycle', 'fk cycle', 'public.right, public.left', 'public.left.right_id', false),
+  ('WARN', 'json-field-unresolved', 'public.children.meta.plan', 'json field unresolved', 'pick a factory for the field', true),
+  ('WARN', 'unresolved', 'public.children.open', 'unresolved', 'pick a factory or set one by hand', true),
+  ('WARN', 'missing-factory-param', 'public.children.pick', 'factory enum_value requires values', 'set the parameters', true),
+  ('WARN', 'unique-unsafe-factory', 'public.children.code', 'UNIQUE: factory city may repeat', 'pick a factory that is unique per row', true),
+  ('WARN', 'composite-fk', 'public.children', 'composite FK to public.parents (code, id)', 'set consistent to pick whole parent rows', false),
+  ('WARN', 'exclude', 'public.children', 'EXCLUDE apart', 'independent columns can''t keep it', false),
+  ('INFO', 'composite-unique', 'public.children', 'composite UNIQUE (a, b)', 'colliding rows are drawn again, then dropped', false),
+  ('INFO', 'check-not-applied', 'public.children', 'CHECK across not applied', '(a < b)', false),
+  ('INFO', 'partial-unique', 'public.children', 'partial UNIQUE (code)', 'a > 0', false))"""
+
+
+@query("lint_issues", f"WITH {_FOUND_SQL} SELECT * FROM found")
 def _lint(spark, sf_dir):
     return issues_frame(spark, lint(_config(LINTED), REGISTRY))
 
 
-@query("lint_counts")
+@query("lint_counts", f"WITH {_FOUND_SQL} SELECT level, count(*) AS n FROM found GROUP BY level")
 def _lint_counts(spark, sf_dir):
     found = lint(_config(LINTED), REGISTRY)
     out = issues_frame(spark, found).groupBy("level").agg(F.count("*").alias("n"))
@@ -468,12 +623,18 @@ def _lint_counts(spark, sf_dir):
     return out
 
 
-@query("lint_fix_order")
+@query("lint_fix_order", f"WITH {_FOUND_SQL} SELECT row_number() OVER (ORDER BY CASE level WHEN 'ERR' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, location) - 1 AS place, level, kind, location FROM found WHERE fixable")
 def _fix_order(spark, sf_dir):
     ordered = fix_order(lint(_config(LINTED), REGISTRY))
     return spark.createDataFrame([(i, x.level, x.kind, x.location) for i, x in enumerate(ordered)], "place long, level string, kind string, location string")
 
 
+@query("fix_key_targets", "SELECT * FROM (VALUES ('public.left.id'), ('public.parents.code'), ('public.parents.id'), ('public.right.id')) v(target)")
+def _key_targets(spark, sf_dir):
+    """What a repaired reference may name: primary keys and serial columns."""
+    return spark.createDataFrame([(t,) for t in fix.key_targets(_config(LINTED))], "target string")
+
+
 _REFS = [(k, c, s["params"]["target"]) for k, t in LINTED.items() for c, s in t["columns"].items() if s.get("factory") == "fkref" and s.get("params", {}).get("target")]
 _KNOWN = [(f"{k}.{c}",) for k, t in LINTED.items() for c in t["columns"]]
 _REFS_SQL = "refs(table_name, column_name, target) AS (VALUES " + ", ".join(f"({_text(a)}, {_text(b)}, {_text(c)})" for a, b, c in _REFS) + "), known(target) AS (VALUES " + ", ".join(f"({_text(a)})" for (a,) in _KNOWN) + ")"
@@ -585,7 +746,15 @@ def _batches(spark, sf_dir):
     return emit.insert_batches(c, "public.customer", ["c_custkey", "c_name", "c_nationkey"])
 
 
-@query("emit_script")
+_PICKED = f"CAST(1 + {Duck(42, 'public.children', 'parent_id').h(chr(39) + 'fk' + chr(39))} % 3 AS BIGINT)"
+
+
+@query(
+    "emit_script",
+    f"""WITH picked AS (SELECT string_agg('  (' || v || ')', ',' || chr(10) ORDER BY row) AS body FROM (SELECT row, {_PICKED} AS v FROM range(4) r(row)))
+    SELECT place::BIGINT AS place, line FROM (VALUES (0, 'BEGIN;'), (1, ''), (2, '-- public.parents'), (3, 'INSERT INTO "public"."parents" ("id") VALUES' || chr(10) || '  (1),' || chr(10) || '  (2),' || chr(10) || '  (3);'), (4, ''), (5, '-- public.children'), (7, 'COMMIT;')) v(place, line)
+    UNION ALL SELECT 6, 'INSERT INTO "public"."children" ("parent_id") VALUES' || chr(10) || body || ';' FROM picked""",
+)
 def _script(spark, sf_dir):
     """The framed script of a small generated model, line by line."""
     cfg = _config({"parents": {"row_count": 3, "primary_key": ["id"], "columns": {"id": {"factory": "pk_serial", "data_type": "integer"}}}, "children": {"row_count": 4, "columns": {"parent_id": {"factory": "fkref", "params": {"target": "parents.id"}, "data_type": "integer"}}}})
@@ -594,7 +763,7 @@ def _script(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(lines)), "place long, line string")
 
 
-@query("ddl_columns")
+@query("ddl_columns", "SELECT * FROM (VALUES ('public', 'a', 'id', 1, 'bigint', 'int8', false), ('public', 'a', 'm', 2, 'USER-DEFINED', 'mood', false), ('public', 'a', 'n', 3, 'character varying', 'varchar', true), ('public', 'a', 'p', 4, 'numeric', 'numeric', true), ('public', 'a', 'tags', 5, 'ARRAY', '_text', true)) v(table_schema, table_name, column_name, position, data_type, udt, nullable)")
 def _ddl(spark, sf_dir):
     """A DDL text's columns as the catalogue sees them."""
     from loam.sources.ddl import read_ddl
@@ -606,6 +775,7 @@ def _ddl(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New orders for the existing customers: keys are sampled, audited and summed by market segment."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    keys = customers.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")  # numbered alike in every run
     cfg = _config(
         {
             "customers": {"row_count": 1, "primary_key": ["c_custkey"], "columns": {"c_custkey": {"factory": "pk_serial", "data_type": "bigint"}}},
@@ -622,10 +792,21 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
             },
         }
     )
-    orders = Generator(spark, cfg, existing={"customers": customers}).run().tables["public.orders"]
+    orders = Generator(spark, cfg, existing={"customers": keys}).run().tables["public.orders"]
     lost = audit.orphans(orders, ["customer_key"], customers, ["c_custkey"]).agg(F.count("*").alias("orphans"))
     by = orders.join(customers, orders["customer_key"] == customers["c_custkey"]).groupBy("c_mktsegment", "status").agg(F.count("*").alias("n_orders"), F.round(F.sum("total"), 2).alias("total"))
     return by.crossJoin(F.broadcast(lost))  # one row
 
 
-QUERIES["entry_orders_by_segment"] = flagship
+def _flagship_sql() -> str:
+    key = Duck(42, "public.orders", "customer_key").h("'fk'")
+    status = value_sql(Duck(42, "public.orders", "status"), REGISTRY.get("enum_value"), {"values": ["pending", "paid", "shipped"]})
+    total = value_sql(Duck(42, "public.orders", "total"), REGISTRY.get("amount"))
+    return (
+        f"WITH p AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_custkey) - 1 AS ix, count(*) OVER () AS n FROM customer), "
+        f"o AS (SELECT {key} AS h, {status} AS status, {total} AS total FROM range(20000) r(row)) "
+        "SELECT c_mktsegment, status, count(*) AS n_orders, round(sum(total), 2) AS total, 0::BIGINT AS orphans FROM o JOIN p ON p.ix = o.h % p.n GROUP BY ALL"
+    )
+
+
+QUERIES["entry_orders_by_segment"], SQL["entry_orders_by_segment"] = flagship, _flagship_sql()
