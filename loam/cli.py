@@ -48,9 +48,16 @@ def _spark():
     return SparkSession.builder.appName("loam").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+#: The widest columns of a report; longer locations lose their beginning, longer messages run over.
+LOCATION_WIDTH, MESSAGE_WIDTH = 45, 50
+
+
 def _report(issues) -> int:
-    for i in issues:
-        print(f"{i.level:<5}{i.kind:<24}{i.location}  {i.message}" + (f" ({i.hint})" if i.hint else ""))
+    places = [i.location if len(i.location) <= LOCATION_WIDTH else "…" + i.location[1 - LOCATION_WIDTH :] for i in issues]
+    wide = max(map(len, places), default=0)
+    long = min(max((len(i.message) for i in issues), default=0), MESSAGE_WIDTH)
+    for i, place in zip(issues, places):
+        print(f"{i.level:<5}{i.kind:<24}{place:<{wide}}  {i.message:<{long}}".rstrip() + (f"  ({i.hint})" if i.hint else ""))
     n = counts(issues)
     print(f"{n['ERR']} errors, {n['WARN']} warnings, {n['INFO']} notes")
     return int(n[ERROR] > 0)

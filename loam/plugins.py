@@ -1,8 +1,8 @@
 """Generators of one's own.
 
 A plugin is a Python file with ``FACTORIES``, a list of ``Factory``: SQL text for Spark, preferably,
-as it stays inside code generation. For what SQL can't express, ``with_python_column`` adds a column
-from any function of the row number to a finished table, by Arrow batches.
+as it stays inside code generation. For what SQL can't express, ``python_factory`` makes a factory of
+any Python function, and ``with_python_column`` adds a column to a finished table, both by Arrow batches.
 """
 
 from __future__ import annotations
@@ -43,3 +43,16 @@ def with_python_column(df: DataFrame, name: str, function: Callable[[int], objec
         return rows.map(function)
 
     return df.withColumn(name, make(F.col(row)))
+
+
+def python_factory(spark: SparkSession, name: str, function: Callable[[int, int], object], kind: str = "string", tags=(), unique_per_row: bool = False) -> Factory:
+    """A factory from ``function(row, h)``: the row number and a uniform 52-bit integer, which alone decide
+    the value, so that a lost task makes the same one again. The function is registered with the session."""
+    udf_name = f"loam_python_{name}"
+
+    @F.pandas_udf(kind)
+    def make(rows: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([function(int(r), int(h)) for r, h in zip(rows, hashes)], dtype="object")
+
+    spark.udf.register(udf_name, make)
+    return Factory(name, None, lambda d, p, c: f"{udf_name}({d.row}, {d.h()})", kind, tuple(tags), unique_per_row)

@@ -9,7 +9,7 @@ from loam.functions.generators import Registry
 from loam.operators import audit, emit
 from loam.operators.generate import Generator, class_name, dense_index, expand_children, fill_pairs
 from loam.plans.config import from_mapping
-from loam.plugins import load_plugins, sql_factory, with_python_column
+from loam.plugins import load_plugins, python_factory, sql_factory, with_python_column
 from loam.sources import catalog
 from loam.streaming.generate import counts_by_window, stream_rows
 
@@ -331,3 +331,22 @@ def test_commands(spark, tmp_path, capsys):
     assert api.load(cfg).tables["public.a"].columns["note"].factory == "city"
     assert main(["generate", "-c", cfg, "-o", out]) == 0 and open(out).read().count("INSERT INTO") == 2
     assert main(["introspect", "--ddl", ddl]) == 0 and '"name": "email"' in capsys.readouterr().out
+
+
+def test_python_functions_are_factories(spark):
+    registry = Registry()
+    assert registry.register(python_factory(spark, "plate", lambda row, h: f"P{row}-{h % 10}", unique_per_row=True))
+    cfg = from_mapping({"version": 1, "defaults": {"seed": 1}, "tables": {"cars": {"row_count": 20, "primary_key": ["plate"], "columns": {"plate": {"factory": "plate", "data_type": "text"}}}, "trips": {"row_count": 30, "columns": {"car": {"factory": "fkref", "data_type": "text", "params": {"target": "cars.plate"}}}}}})
+    made = Generator(spark, cfg, registry).run().tables
+    cars = sorted(r.plate for r in made["public.cars"].collect())
+    assert len(set(cars)) == 20 and cars[0].startswith("P0-")
+    assert {r.car for r in made["public.trips"].collect()} <= set(cars)
+
+
+def test_report_is_aligned(capsys):
+    from loam.cli import _report
+    from loam.plans.lint import Issue
+
+    assert _report([Issue("ERR", "no-factory", "public.t.c", "no factory", "add one"), Issue("INFO", "exclude", "public." + "x" * 60, "m" * 60)]) == 1
+    first, second, _ = capsys.readouterr().out.splitlines()
+    assert first.index("no factory") == second.index("mmm") and "…" in second
