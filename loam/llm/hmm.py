@@ -2,7 +2,8 @@
 
 Sequences are cut into chunks of ``STEP`` symbols. Each chunk's product of transition and emission
 matrices is made in lockstep with all other chunks; multiplying the products along a sequence gives
-the same value as the forward recursion from symbol to symbol, scaled as it goes.
+the same value as the forward recursion from symbol to symbol, scaled as it goes. Sequences are taken
+in groups of about ``GROUP`` symbols, which bounds the memory.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import numpy as np
 
 STEP = 32
 LOT = 4096
+GROUP = 1 << 20
 
 
 class Model:
@@ -109,22 +111,40 @@ def _behind(model: Model, m, first, n):
     return after
 
 
+def _groups(symbols: np.ndarray, lens: np.ndarray):
+    """Symbols and lengths of whole sequences, in turn; a group ends where it has ``GROUP`` symbols or more."""
+    lens = np.asarray(lens, np.int64)
+    ends = np.cumsum(lens)
+    a, begin = 0, 0
+    while a < len(lens):
+        b = min(len(lens), int(np.searchsorted(ends, begin + GROUP)) + 1)
+        yield symbols[begin : ends[b - 1]], lens[a:b]
+        a, begin = b, int(ends[b - 1])
+
+
 def likelihoods(model: Model, symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Natural-log likelihood of each sequence; every length is at least 1."""
-    if not len(lens):
-        return np.zeros(0)
-    at, there, first, n = _cut(np.asarray(lens, np.int64))
-    m, logs = _products(model, symbols[at], there)
-    return _forward(model, m, logs, first, n)[0]
+    out = [np.zeros(0)]
+    for x, sizes in _groups(symbols, lens):
+        at, there, first, n = _cut(sizes)
+        m, logs = _products(model, x[at], there)
+        out.append(_forward(model, m, logs, first, n)[0])
+    return np.concatenate(out)
 
 
 def expected_counts(model: Model, symbols: np.ndarray, lens: np.ndarray):
     """Baum-Welch: expected counts of start states, transitions and emissions, and the log-likelihood."""
+    k, c = model.emit.shape
+    total = [np.zeros(k), np.zeros((k, k)), np.zeros((k, c)), 0.0]
+    for x, sizes in _groups(symbols, lens):
+        total = [a + b for a, b in zip(total, _group_counts(model, x, sizes))]
+    return tuple(total)
+
+
+def _group_counts(model: Model, symbols: np.ndarray, lens: np.ndarray):
     k, c = model.emit.shape
     start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
-    if not len(lens):
-        return start, step, emit, 0.0
-    at, there, first, n = _cut(np.asarray(lens, np.int64))
+    at, there, first, n = _cut(lens)
     x = symbols[at]
     m, logs = _products(model, x, there)
     ll, before = _forward(model, m, logs, first, n)
