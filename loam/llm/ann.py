@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stash
+from .common import stash, tidy
 
 SHARD = 8192
 DEGREE = 32
@@ -270,7 +270,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard_size: int = S
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
                 a = b
 
-    hits = streams.mapInArrow(search, "query_id long, vec_id long, score double")
+    hits = streams.mapInArrow(tidy(search), "query_id long, vec_id long, score double")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordTable, byte_of_char, ids_and_text, slices, stash
+from .common import WordTable, byte_of_char, give_back, ids_and_text, slices, stash, tidy
 from .packing import refuse_other_rules, tokenizer_text
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -171,7 +171,7 @@ def _blocks(docs: DataFrame, parts: int, id_col: str, text_col: str) -> DataFram
         if ids:
             yield from out(k, places, pos, ids, lens)
 
-    return ids_and_text(docs, id_col, text_col).mapInArrow(run, _BLOCKS)
+    return ids_and_text(docs, id_col, text_col).mapInArrow(tidy(run), _BLOCKS)
 
 
 def _encoded_blocks(docs: DataFrame, text: str, each, schema, id_col: str, text_col: str) -> DataFrame:
@@ -201,11 +201,12 @@ def _encoded_blocks(docs: DataFrame, text: str, each, schema, id_col: str, text_
 
     # The part is hashed once more by Spark, so some tasks get two parts and some none.
     dealt = both.filter("part is not null").select("block", "part", "pieces").repartition(parts, "part")
-    coded = dealt.mapInArrow(encode_parts, "block long, part int, counts binary, ids binary")
+    coded = dealt.mapInArrow(tidy(encode_parts), "block long, part int, counts binary, ids binary")
 
     def join_positions(own, coded):
         import numpy as np
 
+        give_back()  # the group before
         r = own.to_pylist()[0]
         part_of, pos = _unpacked(r["part_of"]), _unpacked_positions(r["pos"])
         ids: list = [()] * len(part_of)
@@ -247,7 +248,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
             texts = [b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 DIGESTS = T.StructType(

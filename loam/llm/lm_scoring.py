@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, ids_and_text, remainder, stash
+from .common import attach, give_back, ids_and_text, remainder, stash, tidy
 
 CLASSES = 4096
 STATES = 6
@@ -118,7 +118,7 @@ def blocks(docs: DataFrame, modulus: int, held_rest: int, id_col: str = "doc_id"
         if ids:
             yield from out(k, places, pos, ids, held, lens)
 
-    return rows.mapInArrow(run, _BLOCKS)
+    return rows.mapInArrow(tidy(run), _BLOCKS)
 
 
 def _sequences(classes, pos, lens, chosen):
@@ -187,7 +187,7 @@ def train(own: DataFrame, symbol_counts, states: int = STATES, passes: int = PAS
 
     for _ in range(START_PASSES + passes):
         shared = spark.sparkContext.broadcast((model.start, model.step, model.emit))
-        model = Model.from_counts(*unpack(summed(data.mapInArrow(count(shared), "ix int, v double"))))
+        model = Model.from_counts(*unpack(summed(data.mapInArrow(tidy(count(shared)), "ix int, v double"))))
     return model
 
 
@@ -220,6 +220,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_rest: int = 2, state
 
         from loam.llm import hmm
 
+        give_back()  # the group before
         start, step, emit, in_class, kinds_in_class = shared.value
         r = payload.to_pylist()[0]
         classes, pos, lens = _open(r["classes"]), _open(r["pos"]), np.array(r["lens"], np.int64)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WordTable, byte_of_char, ids_and_text, slices, stash
+from .common import WordTable, byte_of_char, ids_and_text, slices, stash, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -141,7 +141,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 table.trim()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

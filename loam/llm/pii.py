@@ -28,7 +28,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ids_and_text
+from .common import ids_and_text, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 1800
@@ -468,7 +468,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     names=FOUND.names,
                 )
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(tidy(run), FOUND)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -498,7 +498,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.array(new, batch.schema.field(k).type) if k == place else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ids_and_text, slices, stash
+from .common import discard, ids_and_text, slices, stash, tidy
 
 RADIUS = 4
 WORDS = 4
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             fps = [one(x) for part in slices(batch.column(1).cast(pa.binary())) for x in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return ids_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return ids_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -242,7 +242,7 @@ def variant_links(dealt: DataFrame, bits: int, radius: int, lot: int = LOT, widt
         if kept:
             yield from linked(kept)
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").select(*names).mapInArrow(run, "a long, b long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").select(*names).mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def signatures(docs: DataFrame, words: int = SHINGLE, tables: int = TABLES, bits
             found = [one(x) for part in slices(batch.column(1).cast(pa.binary())) for x in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "check", "fps"])
 
-    return ids_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, check long, fps array<long>")
+    return ids_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, check long, fps array<long>")
 
 
 def table_prefix_bits(nodes: DataFrame, bits: int, size: int = 1 << 24, most: int = 1 << 27) -> int:

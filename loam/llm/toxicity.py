@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordTable, discard, ids_and_text, remainder, slices, stash
+from .common import WordTable, discard, ids_and_text, remainder, slices, stash, tidy
 
 SAMPLE = 3000
 FEATURES = 1500
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held_rest: int
         discard(chosen, rows)
         p = min(max(n1 / max(1, n1 + n0), 1e-6), 1 - 1e-6)
         return Scorer({}, float(np.log(p / (1 - p))))
-    counts = rows.mapInArrow(to_features, "toxic int, f array<string>").select("toxic", F.explode("f").alias("f")).groupBy("f").agg(
+    counts = rows.mapInArrow(tidy(to_features), "toxic int, f array<string>").select("toxic", F.explode("f").alias("f")).groupBy("f").agg(
         F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("o")
     )
     # Difference of frequencies against its standard deviation: features that any text has stand low.
@@ -182,9 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held_rest: int
             cells = [(-1, -1, n), *[(i, j, v) for (i, j), v in entries.items()]]
             yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["i", "j", "v"])
 
-    got = rows.mapInArrow(to_vectors, "toxic int, v array<int>").toPandas()  # at most 2 * sample rows
+    got = rows.mapInArrow(tidy(to_vectors), "toxic int, v array<int>").toPandas()  # at most 2 * sample rows
     # Features of group terms alone differ in a pair: a few thousand entries, whatever the texts.
-    gaps = rows.mapInArrow(to_gaps, "i int, j int, v long").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    gaps = rows.mapInArrow(tidy(to_gaps), "i int, j int, v long").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     discard(chosen, rows)
     docs_ = sorted((int(t), tuple(v)) for t, v in zip(got["toxic"], got["v"]))
     neutral = [s.format(t) for s in NEUTRAL for t in _GROUP]
@@ -238,7 +238,7 @@ def scored(rows: DataFrame, scorer: Scorer, keep: list[str], name: str = "score"
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, name])
 
     at = keep.index("text") if "text" in keep else len(keep)  # the text moves once
-    return rows.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+    return rows.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(tidy(run), schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
